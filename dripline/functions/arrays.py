@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 SLOTS = 48
 
 
-def _zeros(v: Column) -> Column:
-    return F.transform(v, lambda _: F.lit(0.0))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it in ``body`` as often as needed.
+
+    Lambdas are not covered by common-subexpression elimination, so an array minimum written inside one
+    would be computed again for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def minmax(v: Column) -> Column:
     """Scale to [0, 1]; a constant vector becomes zeros."""
-    lo, hi = F.array_min(v), F.array_max(v)
-    return F.when(hi > lo, F.transform(v, lambda x: (x - lo) / (hi - lo))).otherwise(_zeros(v))
+
+    def scaled(s: Column) -> Column:
+        span = s["hi"] - s["lo"]
+        return F.transform(s["v"], lambda x: F.when(span > 0, (x - s["lo"]) / span).otherwise(0.0))
+
+    return _let(
+        v, lambda w: _let(F.struct(w.alias("v"), F.array_min(w).alias("lo"), F.array_max(w).alias("hi")), scaled)
+    )
 
 
 def running_sum(v: Column) -> Column:
-    grown = F.aggregate(
+    return F.aggregate(
         v,
         F.array().cast("array<double>"),
         lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))),
     )
-    return grown
 
 
 def cumulative_minmax(v: Column) -> Column:
@@ -32,8 +44,11 @@ def cumulative_minmax(v: Column) -> Column:
 
 def max_norm(v: Column) -> Column:
     """Divide by the maximum; an all-zero vector stays as it is."""
-    hi = F.array_max(v)
-    return F.when(hi != 0, F.transform(v, lambda x: x / hi)).otherwise(v)
+
+    def scaled(s: Column) -> Column:
+        return F.transform(s["v"], lambda x: F.when(s["hi"] != 0, x / s["hi"]).otherwise(x))
+
+    return _let(v, lambda w: _let(F.struct(w.alias("v"), F.array_max(w).alias("hi")), scaled))
 
 
 def dot(a: Column, b: Column) -> Column:
