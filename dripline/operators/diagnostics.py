@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from dripline.session import cut
+
 # Limits of the diagnostics.
 MAX_VIF = 15.0
 STRONG = 0.7
@@ -16,12 +19,60 @@ MIN_IMPORTANCE = 0.005
 VARIANCE_KEPT = 0.95
 
 
+def _cross_products(df: DataFrame, columns: list[str], by: str | None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per scope (and over all rows as ``all``): means and summed cross products about the means.
+
+    Tasks add their rows into one p×p matrix per scope; the matrices are summed on the cluster, so the driver
+    receives p*p numbers per scope whatever the number of rows and tasks. Rows are shifted by the overall means
+    first, which keeps the sums accurate.
+    """
+    p = len(columns)
+    scope = F.col(by).cast("string") if by else F.lit("all")
+    rows = df.select(scope.alias("scope"), *[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    shift = np.array([v or 0.0 for v in rows.agg(*[F.avg(c) for c in columns]).first()])
+
+    def add(batches):
+        sums: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for name, part in pdf.groupby("scope", sort=False):
+                x = np.column_stack([np.ones(len(part)), part[columns].to_numpy() - shift])
+                sums[name] = sums.get(name, 0.0) + x.T @ x
+        if sums:
+            yield pd.DataFrame({"scope": list(sums), "m": [m.ravel() for m in sums.values()]})
+
+    partial = rows.mapInPandas(add, "scope string, m array<double>")
+    total = partial.select("scope", F.posexplode("m").alias("pos", "v")).groupBy("scope", "pos").agg(F.sum("v").alias("v"))
+    found: dict[str, np.ndarray] = {}
+    for r in total.collect():  # (p+1)^2 numbers per scope
+        found.setdefault(r["scope"], np.zeros((p + 1) ** 2))[r["pos"]] = r["v"]
+    if by and found:
+        found["all"] = sum(found.values())
+    out = {}
+    for name, flat in found.items():
+        m = flat.reshape(p + 1, p + 1)
+        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+        out[name] = (mean + shift, m[1:, 1:] - n * np.outer(mean, mean))
+    return out
+
+
+def _correlation(cross: np.ndarray) -> np.ndarray:
+    """Correlations; NaN for a column that does not vary."""
+    var = np.diag(cross).copy()
+    var[var < 1e-9] = np.nan
+    return cross / np.sqrt(np.outer(var, var))
+
+
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long-form upper triangle of the correlation matrix, in one pass over the rows."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("r")) for k, (a, b) in enumerate(pairs)]
-    return wide.select(F.inline(F.array(*rows)))
+    """Long-form upper triangle of the correlation matrix."""
+    cross = _cross_products(df, columns, None).get("all")
+    r = _correlation(cross[1]) if cross else np.full((len(columns),) * 2, np.nan)
+    rows = [
+        (a, b, None if np.isnan(r[i, j]) else float(r[i, j]))
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+        if j > i
+    ]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def strong_pairs(pairs: DataFrame, limit: float = STRONG) -> DataFrame:
@@ -37,23 +88,10 @@ def correlation_with_target(df: DataFrame, columns: list[str], target: str) -> D
 
 def _moments(df: DataFrame, columns: list[str], by: str | None) -> dict[str, tuple[list[str], np.ndarray]]:
     """Correlation matrix per scope (and over all rows as ``all``) of the columns that vary."""
-    stds = [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]
-    corrs = [
-        F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i in range(len(columns)) for j in range(i + 1, len(columns))
-    ]
-    if by is None:
-        rows = [("all", df.agg(*stds, *corrs).first())]  # one row of p*p numbers
-    else:
-        grouped = df.rollup(by).agg(*stds, *corrs, F.grouping(by).alias("_g")).collect()  # one row per scope
-        rows = [("all" if r["_g"] else r[by], r) for r in grouped]
     out = {}
-    for scope, row in rows:
-        used = [i for i in range(len(columns)) if (row[f"s{i}"] or 0.0) > 1e-12]
-        m = np.eye(len(used))
-        for x, i in enumerate(used):
-            for y, j in enumerate(used[x + 1 :], x + 1):
-                m[x, y] = m[y, x] = row[f"r{i}_{j}"]
-        out[scope] = ([columns[i] for i in used], m)
+    for scope, (_, cross) in _cross_products(df, columns, by).items():
+        used = [i for i in range(len(columns)) if cross[i, i] > 1e-9]
+        out[scope] = ([columns[i] for i in used], _correlation(cross[np.ix_(used, used)]))
     return out
 
 
@@ -84,6 +122,7 @@ def replace_by_components(df: DataFrame, columns: list[str], kept: float = VARIA
     """
     if not columns:
         return df
+    df = cut(df)  # three passes follow
     n = df.count()
     assembled = VectorAssembler(inputCols=columns, outputCol="_raw").transform(df)
     scaled = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True).fit(assembled).transform(assembled)

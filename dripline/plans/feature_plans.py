@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dripline.operators import diagnostics, evaluate, features, quality
 from dripline.plans import inputs as I
 from dripline.plans.catalog import _feature_body, hash01, query, with_ctes
+from dripline.session import cut
 from dripline.sources import sinks
 from dripline.sources.tables import table, usage_events
 
@@ -50,9 +51,10 @@ def prev_day_stats(spark, base):
     )
 
 
-@query("processed_days", with_ctes("SELECT date, prev_date FROM proc", "proc"))
+@query("processed_days", with_ctes("SELECT date, COALESCE(CAST(prev_date AS VARCHAR), 'none') AS prev_date FROM proc", "proc"))
 def processed_days(spark, base):
-    return features.processed_days(I.slots(spark, base))
+    days = features.processed_days(I.slots(spark, base))
+    return days.withColumn("prev_date", F.coalesce(F.col("prev_date").cast("string"), F.lit("none")))
 
 
 @query("processed_days_wrap", with_ctes("SELECT date, COALESCE(prev_date, MAX(date) OVER ()) AS prev_date FROM proc", "proc"))
@@ -432,7 +434,7 @@ def vif(spark, base):
 
 @query("pca_high_vif")
 def pca_high_vif(spark, base):
-    df = features.model_input(I.feature_rows(spark, base))
+    df = cut(features.model_input(I.feature_rows(spark, base)))
     return diagnostics.replace_by_components(df, diagnostics.high_vif(df, features.MODEL_FEATURES))
 
 

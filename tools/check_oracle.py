@@ -26,6 +26,7 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
         if pd.api.types.is_float_dtype(df[c]):
             df[c] = df[c] + 0.0
         elif df[c].dtype == object or str(df[c].dtype).startswith(("datetime", "str")):
+            df[c] = df[c].where(df[c].notna(), None)
             df[c] = df[c].astype(str).str.replace(" 00:00:00", "", regex=False)
     return df.sort_values(list(df.columns), kind="stable").reset_index(drop=True)
 
