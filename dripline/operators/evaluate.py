@@ -55,14 +55,17 @@ def box_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     return df.groupBy(by).agg(q.alias("q")).select(by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def quartiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Exact quartiles with linear interpolation, at any size.
-
-    Distinct values with their counts are range-sorted; a running count over that order gives the rows at
-    the two ranks around each quartile. No group is collected, and a hot group is only as large as its
-    number of distinct values.
+def quantiles(
+    df: DataFrame, value: str, by: list[str], wanted: dict[str, float], weight: str | None = None
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, at any size.
+
+    Distinct values with their counts are accumulated in order; the rows at the two ranks around each quantile are
+    read from that running count. No group is collected, and a hot group is only as large as its number of
+    distinct values. ``weight`` counts a row several times.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("c"))
+    n_rows = F.sum(weight) if weight else F.count("*")
+    counts = df.groupBy(*by, value).agg(n_rows.alias("c"))
     total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
     chunk = _rank_chunks(counts, value, by)
     pos = chunk.join(total, by) if by else chunk.withColumn("n", total.scalar())
@@ -70,13 +73,19 @@ def quartiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     def at(q: float) -> Column:
         rank = (F.col("n") - 1) * q
         low, high = F.floor(rank), F.ceil(rank)
-        inside = lambda r: (F.col("start") <= r) & (r < F.col("start") + F.col("c"))
+
+        def inside(r: Column) -> Column:
+            return (F.col("start") <= r) & (r < F.col("start") + F.col("c"))
+
         v_low = F.max(F.when(inside(low), F.col(value).cast("double")))
         v_high = F.max(F.when(inside(high), F.col(value).cast("double")))
-        frac = F.max(rank - low)
-        return v_low + (v_high - v_low) * frac
+        return v_low + (v_high - v_low) * F.max(rank - low)
+
+    return pos.groupBy(*by).agg(*[at(q).alias(name) for name, q in wanted.items()])
+
 
-    return pos.groupBy(*by).agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
+def quartiles(df: DataFrame, value: str, by: list[str], weight: str | None = None) -> DataFrame:
+    return quantiles(df, value, by, {"q1": 0.25, "q3": 0.75}, weight)
 
 
 def _rank_chunks(counts: DataFrame, value: str, by: list[str], buckets: int = 64) -> DataFrame:
@@ -103,15 +112,19 @@ def _rank_chunks(counts: DataFrame, value: str, by: list[str], buckets: int = 64
     )
 
 
-def upper_fence(df: DataFrame, value: str, by: list[str], factor: float = 0.5) -> DataFrame:
+def upper_fence(
+    df: DataFrame, value: str, by: list[str], factor: float = 0.5, weight: str | None = None
+) -> DataFrame:
     """Q3 + ``factor``·IQR per group."""
-    q = quartiles(df, value, by)
+    q = quartiles(df, value, by, weight)
     return q.withColumn("fence", F.col("q3") + factor * (F.col("q3") - F.col("q1")))
 
 
-def flag_outliers(df: DataFrame, value: str, by: list[str], factor: float = 0.5) -> DataFrame:
+def flag_outliers(
+    df: DataFrame, value: str, by: list[str], factor: float = 0.5, weight: str | None = None
+) -> DataFrame:
     """Mark rows strictly above their group's fence."""
-    fence = upper_fence(df, value, by, factor).select(*by, "fence")
+    fence = upper_fence(df, value, by, factor, weight).select(*by, "fence")
     joined = df.join(fence, by) if by else df.withColumn("fence", fence.scalar())
     return joined.withColumn("outlier", F.col(value) > F.col("fence"))
 
