@@ -421,3 +421,44 @@ def compactness(labelled: DataFrame, flagged: DataFrame) -> DataFrame:
         (F.col("outlier_share") <= 0.2).alias("outliers_ok"),
         (F.col("n") >= 100).alias("size_ok"),
     )
+
+
+def residual_rounds(vectors: DataFrame, rounds: int = 5, least_share: float = 0.05, least_silhouette: float = 0.5) -> DataFrame:
+    """Cluster, set the warping outliers and the noise aside, and cluster those again.
+
+    A pattern stops when fewer than ``least_share`` of its rows are left over or its silhouette drops below
+    ``least_silhouette``. Each row gets the round and label it was settled in; rows never settled keep label -1.
+    """
+    rest = cut(vectors)
+    sizes = {r["pattern"]: r["n"] for r in rest.groupBy("pattern").agg(F.sum("weight").alias("n")).collect()}
+    out: DataFrame | None = None
+    for number in range(1, rounds + 1):
+        open_ = sorted(sizes)
+        if not open_:
+            break
+        labelled = cut(dbscan(rest, {p: (EPS, MIN_SAMPLES) for p in open_}))
+        samples = silhouette_samples(labelled)
+        best = best_cluster(silhouette_by_cluster(samples))
+        flagged = warping_outliers(labelled, cut(medoids(labelled, best)))
+        # Patterns without a cluster have no representative; all their rows stay unsettled.
+        state = labelled.join(flagged.select("pattern", "row_key", "outlier"), ["pattern", "row_key"], "left").withColumn(
+            "settled", (F.col("label") >= 0) & ~F.coalesce("outlier", F.lit(True))
+        )
+        state = cut(state.select("pattern", "vec", "weight", "row_key", "label", "settled"))
+        left = F.sum(F.when(~F.col("settled"), F.col("weight")).otherwise(0)).alias("left")
+        stats = state.groupBy("pattern").agg(left).join(silhouette_overall(samples), "pattern", "left").collect()
+        final = [
+            r["pattern"]
+            for r in stats
+            if number == rounds
+            or r["left"] < least_share * sizes[r["pattern"]]
+            or r["silhouette"] is None
+            or r["silhouette"] < least_silhouette
+        ]
+        done = state.filter(F.col("settled") | F.col("pattern").isin(final)).select(
+            "pattern", "vec", "weight", "row_key", "label", F.lit(number).alias("round")
+        )
+        out = done if out is None else out.unionByName(done)
+        rest = cut(state.filter(~F.col("settled") & ~F.col("pattern").isin(final)).select("pattern", "vec", "weight", "row_key"))
+        sizes = {p: n for p, n in sizes.items() if p not in final}
+    return out

@@ -1,4 +1,4 @@
 """Loads every plan module; importing them fills the catalogue."""
 
-from dripline.plans import feature_plans, score_plans, usage_plans  # noqa: F401
+from dripline.plans import feature_plans, score_plans, shape_plans, usage_plans  # noqa: F401
 from dripline.plans.catalog import QUERIES, SQL  # noqa: F401
