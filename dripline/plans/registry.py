@@ -1,4 +1,12 @@
 """Loads every plan module; importing them fills the catalogue."""
 
-from dripline.plans import feature_plans, score_plans, shape_plans, usage_plans  # noqa: F401
+from dripline.plans import (  # noqa: F401
+    feature_plans,
+    model_plans,
+    score_plans,
+    shape_plans,
+    stream_plans,
+    usage_plans,
+    voice_plans,
+)
 from dripline.plans.catalog import QUERIES, SQL  # noqa: F401

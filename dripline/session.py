@@ -51,6 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Place rows by ``keys`` over all tasks before heavy per-group Python work.
+
+    Adaptive execution merges partitions that are small in bytes, which would put work that is small in bytes but
+    long in time onto a few cores; an explicit number of partitions is kept.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def scratch_path(spark: SparkSession, stem: str) -> str:
     """Fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
