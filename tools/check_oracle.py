@@ -53,9 +53,8 @@ def compare(spark, con, name, plan, sql, base) -> str:
             if bad.any():
                 i = bad.idxmax()
                 problems.append(f"{c}: {int(bad.sum())} differ, e.g. {a[c][i]!r} vs {b[c][i]!r}")
-    if not len(got):
-        problems.append("empty")
-    return ("OK " if not problems else "BAD ") + f"{len(got)} rows {spent:.1f}s " + "; ".join(problems)
+    line = ("OK " if not problems else "BAD ") + f"{len(got)} rows {spent:.1f}s"
+    return " ".join([line, *problems] + ([] if len(got) else ["empty"]))
 
 
 def connect(base: str) -> duckdb.DuckDBPyConnection:
