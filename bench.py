@@ -51,6 +51,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "16g",
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
     )
     names = sys.argv[1:] or HEADLINE

@@ -28,7 +28,8 @@ def _cross_products(df: DataFrame, columns: list[str], by: str | None) -> dict[s
     """
     p = len(columns)
     scope = F.col(by).cast("string") if by else F.lit("all")
-    rows = df.select(scope.alias("scope"), *[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    # Two passes follow; the narrow table is written once instead of being derived twice.
+    rows = cut(df.select(scope.alias("scope"), *[F.col(c).cast("double").alias(c) for c in columns]).na.drop())
     shift = np.array([v or 0.0 for v in rows.agg(*[F.avg(c) for c in columns]).first()])
 
     def add(batches):

@@ -253,7 +253,7 @@ def silhouette_by_cluster(samples: DataFrame) -> DataFrame:
     """Mean silhouette per cluster with its rank, best first."""
     mean = F.sum(F.col("silhouette") * F.col("weight")) / F.sum("weight")
     per = samples.groupBy("pattern", "label").agg(mean.alias("silhouette"), F.sum("weight").alias("n"))
-    rank = F.row_number().over(W.partitionBy("pattern").orderBy(F.round("silhouette", 9).desc(), "label"))
+    rank = F.row_number().over(W.partitionBy("pattern").orderBy(F.round("silhouette", 6).desc(), "label"))
     return per.withColumn("rank", rank)
 
 

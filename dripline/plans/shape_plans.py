@@ -29,32 +29,89 @@ def _flagged(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     return centres, shape.warping_outliers(labelled, cut(centres))
 
 
-@query("dbscan_labels")
+# Clusters in SQL: all pairs within eps, core rows, smallest reachable core row per component.
+_DENSE = {
+    "nv": """SELECT pattern, person_id, date, person_id * 65536 + date_diff('day', DATE '1970-01-01', date) AS k,
+        list(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0.0 END ORDER BY slot) AS v FROM vecs GROUP BY pattern, person_id, date""",
+    "dv": "SELECT pattern, v, COUNT(*) AS w, MIN(k) AS k FROM nv GROUP BY pattern, v",
+    "near": """SELECT a.pattern, a.k AS a, b.k AS b, b.w FROM dv a JOIN dv b ON a.pattern = b.pattern
+        AND list_distance(a.v, b.v) <= 0.9""",
+    "core": "SELECT pattern, a AS k FROM near GROUP BY pattern, a HAVING SUM(w) >= 3",
+    "edges": """SELECT n.pattern, n.a, n.b FROM near n JOIN core x ON x.pattern = n.pattern AND x.k = n.a
+        JOIN core y ON y.pattern = n.pattern AND y.k = n.b""",
+    "rooted": """SELECT * FROM (WITH RECURSIVE cc(pattern, k, root) USING KEY (pattern, k) AS (
+        SELECT pattern, k, k FROM core UNION
+        SELECT e.pattern, e.a, MIN(cc.root) FROM cc JOIN edges e ON e.pattern = cc.pattern AND e.b = cc.k
+        JOIN recurring.cc r ON r.pattern = e.pattern AND r.k = e.a WHERE cc.root < r.root GROUP BY e.pattern, e.a) SELECT * FROM cc)""",
+    "numbered": """SELECT pattern, root, CAST(row_number() OVER (PARTITION BY pattern ORDER BY root) - 1 AS INTEGER) AS label
+        FROM (SELECT DISTINCT pattern, root FROM rooted)""",
+    "member": """SELECT d.pattern, d.v, d.w, d.k, COALESCE(n.label, -1) AS label FROM dv d LEFT JOIN (
+        SELECT pattern, k, MIN(root) AS root FROM (SELECT * FROM rooted UNION ALL
+          SELECT q.pattern, q.a, r.root FROM near q JOIN rooted r ON r.pattern = q.pattern AND r.k = q.b
+          WHERE (q.pattern, q.a) NOT IN (SELECT (pattern, k) FROM core)) GROUP BY pattern, k) m ON m.pattern = d.pattern AND m.k = d.k
+        LEFT JOIN numbered n ON n.pattern = m.pattern AND n.root = m.root""",
+    "size": "SELECT pattern, label, CAST(SUM(w) AS BIGINT) AS n FROM member GROUP BY pattern, label",
+    "mean_d": """SELECT a.pattern, a.k, a.w, a.label, b.label AS other, SUM(list_distance(a.v, b.v) * b.w) AS s
+        FROM member a JOIN member b ON a.pattern = b.pattern WHERE a.label >= 0 AND b.label >= 0 GROUP BY ALL""",
+    "ab": """SELECT m.pattern, m.k, m.w, m.label, MAX(CASE WHEN m.label = other AND z.n > 1 THEN s / (z.n - 1) END) AS a,
+        MIN(CASE WHEN m.label <> other THEN s / z.n END) AS b FROM mean_d m JOIN size z ON z.pattern = m.pattern AND z.label = m.other
+        GROUP BY m.pattern, m.k, m.w, m.label""",
+    "sil": "SELECT *, CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM ab",
+    "cov": """SELECT pattern, CAST(SUM(CASE WHEN label >= 0 THEN w ELSE 0 END) AS BIGINT) AS clustered,
+        SUM(CASE WHEN label >= 0 THEN w ELSE 0 END) / SUM(w) AS coverage FROM member GROUP BY pattern""",
+}
+
+
+@query(
+    "dbscan_labels",
+    with_ctes(
+        "SELECT n.pattern, n.person_id, n.date, m.label FROM nv n JOIN member m ON m.pattern = n.pattern AND m.v = n.v", "vecs", extra=_DENSE
+    ),
+)
 def dbscan_labels(spark, base):
     days = shape.normalised(_days(spark, base))
     return shape.label_days(days, _labelled(spark, base)).select(*grid.DAY, "label")
 
 
-@query("cluster_counts")
+@query("cluster_counts", with_ctes("SELECT pattern, label, n FROM size", "vecs", extra=_DENSE))
 def cluster_counts(spark, base):
     return shape.cluster_counts(_labelled(spark, base))
 
 
-@query("cluster_coverage")
+@query(
+    "cluster_coverage",
+    with_ctes("SELECT *, clustered >= 500 OR coverage >= 0.95 AS covered FROM cov", "vecs", extra=_DENSE),
+)
 def cluster_coverage(spark, base):
     return shape.coverage(_labelled(spark, base))
 
 
-@query("silhouette")
+@query(
+    "silhouette",
+    with_ctes(
+        """SELECT *, CAST(row_number() OVER (PARTITION BY pattern ORDER BY silhouette DESC, label) AS INTEGER) AS rank FROM (
+           SELECT pattern, label, round(SUM(s * w) / SUM(w), 6) AS silhouette, CAST(SUM(w) AS BIGINT) AS n FROM sil GROUP BY pattern, label)""",
+        "vecs", extra=_DENSE,
+    ),
+)
 def silhouette(spark, base):
     samples = shape.silhouette_samples(_labelled(spark, base))
-    return shape.silhouette_by_cluster(samples)
+    return shape.silhouette_by_cluster(samples).withColumn("silhouette", F.round("silhouette", 6))
 
 
-@query("cluster_gate")
+@query(
+    "cluster_gate",
+    with_ctes(
+        """SELECT *, clustered >= 500 OR coverage >= 0.95 AS covered, silhouette >= 0.6 AS silhouette_ok,
+           clustered >= 500 OR coverage >= 0.95 AS covered_ok, silhouette >= 0.6 AND (clustered >= 500 OR coverage >= 0.95) AS passed
+           FROM (SELECT c.*, s.silhouette FROM cov c LEFT JOIN (SELECT pattern, round(SUM(s * w) / SUM(w), 6) AS silhouette
+                 FROM sil GROUP BY pattern) s ON s.pattern = c.pattern)""",
+        "vecs", extra=_DENSE,
+    ),
+)
 def cluster_gate(spark, base):
     labelled = _labelled(spark, base)
-    overall = shape.silhouette_overall(shape.silhouette_samples(labelled))
+    overall = shape.silhouette_overall(shape.silhouette_samples(labelled)).withColumn("silhouette", F.round("silhouette", 6))
     return quality.cluster_gate(shape.coverage(labelled).join(overall, "pattern", "left"))
 
 
