@@ -62,6 +62,33 @@ _DENSE = {
 }
 
 
+
+
+def _dtw_sql(a: str, b: str) -> str:
+    """Warping distance of two 48-lists: one list per row of the cost table."""
+    return f"""sqrt(list_reduce({a}, lambda prev, x: list_reduce(range(1, 49), lambda acc, j: list_append(acc,
+        least(acc[len(acc)], prev[j], prev[j + 1]) + (x - {b}[j]) * (x - {b}[j])), [1e300]::DOUBLE[]),
+        list_concat([0.0]::DOUBLE[], list_transform(range(48), lambda z: 1e300::DOUBLE)))[49])"""
+
+
+_WARPED = {
+    **_DENSE,
+    "ranked": """SELECT pattern, label, row_number() OVER (PARTITION BY pattern ORDER BY round(SUM(s * w) / SUM(w), 6) DESC, label) AS r
+        FROM sil GROUP BY pattern, label""",
+    "crowd": "SELECT m.* FROM member m JOIN ranked r ON r.pattern = m.pattern AND r.label = m.label AND r.r = 1",
+    "medo": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY mean_dtw, k) AS r FROM (
+        SELECT a.pattern, a.k, a.v, round(SUM({_dtw_sql('a.v', 'b.v')} * b.w) / SUM(b.w), 9) AS mean_dtw
+        FROM crowd a JOIN crowd b ON b.pattern = a.pattern GROUP BY a.pattern, a.k, a.v)) WHERE r = 1""",
+    "cum": """SELECT pattern, v, w, k, label, CASE WHEN c[48] > c[1] THEN list_transform(c, lambda x: (x - c[1]) / (c[48] - c[1]))
+        ELSE list_transform(c, lambda x: 0.0::DOUBLE) END AS c FROM (SELECT *, list_transform(range(1, 49), lambda i: list_sum(v[1:i])) AS c FROM member)""",
+    "dd": f"""SELECT u.pattern, u.k, u.w, u.v, u.label, {_dtw_sql('u.v', 'm.v')} AS dtw_plain, {_dtw_sql('u.c', 'mc.c')} AS dtw_cum
+        FROM cum u JOIN medo m ON m.pattern = u.pattern JOIN cum mc ON mc.pattern = m.pattern AND mc.k = m.k""",
+    "fenced": """SELECT pattern, q3 + 0.5 * (q3 - q1) AS fence FROM (SELECT n.pattern, quantile_cont(dtw_cum, 0.25) AS q1,
+        quantile_cont(dtw_cum, 0.75) AS q3 FROM nv n JOIN dd ON dd.pattern = n.pattern AND dd.v = n.v GROUP BY n.pattern)""",
+    "flags": "SELECT dd.*, f.fence, dtw_cum > f.fence AS outlier FROM dd JOIN fenced f ON f.pattern = dd.pattern",
+}
+
+
 @query(
     "dbscan_labels",
     with_ctes(
@@ -123,20 +150,45 @@ def cluster_sweep(spark, base):
     return spark.createDataFrame(log, shape.SWEEP_SCHEMA)
 
 
-@query("dtw_medoid")
+@query(
+    "dtw_medoid",
+    with_ctes(
+        """SELECT pattern, k AS row_key, round(mean_dtw, 6) AS mean_dtw, CAST(i - 1 AS INTEGER) AS slot, x AS amount FROM (
+           SELECT pattern, k, mean_dtw, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM medo)""",
+        "vecs", extra=_WARPED,
+    ),
+)
 def dtw_medoid(spark, base):
     labelled = _labelled(spark, base)
     best = shape.best_cluster(shape.silhouette_by_cluster(shape.silhouette_samples(labelled)))
-    return grid.explode_vector(shape.medoids(labelled, best), ["pattern", "row_key", "mean_dtw"])
+    centres = shape.medoids(labelled, best).withColumn("mean_dtw", F.round("mean_dtw", 6))
+    return grid.explode_vector(centres, ["pattern", "row_key", "mean_dtw"])
 
 
-@query("dtw_outliers")
+@query(
+    "dtw_outliers",
+    with_ctes(
+        """SELECT pattern, k AS row_key, w AS weight, round(dtw_plain, 6) AS dtw_plain, round(dtw_cum, 6) AS dtw_cum,
+           round(fence, 6) AS fence, outlier FROM flags""",
+        "vecs", extra=_WARPED,
+    ),
+)
 def dtw_outliers(spark, base):
     _, flagged = _flagged(_labelled(spark, base))
-    return flagged.select("pattern", "row_key", "weight", "dtw_plain", "dtw_cum", "fence", "outlier")
+    return flagged.select(
+        "pattern", "row_key", "weight", *[F.round(c, 6).alias(c) for c in ("dtw_plain", "dtw_cum", "fence")], "outlier"
+    )
 
 
-@query("outlier_free_grid")
+@query(
+    "outlier_free_grid",
+    with_ctes(
+        """SELECT x.pattern, x.person_id, x.date, CAST(x.slot // 2 AS INTEGER) AS hour, CAST((x.slot % 2) * 30 AS INTEGER) AS minute, x.x AS amount
+           FROM vecs x JOIN nv n ON n.person_id = x.person_id AND n.date = x.date
+           JOIN flags f ON f.pattern = n.pattern AND f.v = n.v WHERE NOT f.outlier""",
+        "vecs", extra=_WARPED,
+    ),
+)
 def outlier_free_grid(spark, base):
     """Original amounts of the days that stay after the warping fence."""
     days = _days(spark, base)
@@ -144,11 +196,22 @@ def outlier_free_grid(spark, base):
     return grid.grid_from_vectors(shape.keep_inliers(days, flagged))
 
 
-@query("cluster_compactness")
+@query(
+    "cluster_compactness",
+    with_ctes(
+        """SELECT g.pattern, g.label, g.n, round(g.mean_dtw, 6) AS mean_dtw, round(g.outlier_share, 6) AS outlier_share,
+           g.mean_dtw <= 0.5 * o.overall AS compact_ok, g.outlier_share <= 0.2 AS outliers_ok, g.n >= 100 AS size_ok FROM (
+           SELECT pattern, label, CAST(SUM(w) AS BIGINT) AS n, SUM(dtw_cum * w) / SUM(w) AS mean_dtw,
+                  SUM(CASE WHEN outlier THEN w ELSE 0 END) / SUM(w) AS outlier_share FROM flags WHERE label >= 0 GROUP BY pattern, label) g
+           JOIN (SELECT pattern, SUM(dtw_cum * w) / SUM(w) AS overall FROM flags GROUP BY pattern) o ON o.pattern = g.pattern""",
+        "vecs", extra=_WARPED,
+    ),
+)
 def cluster_compactness(spark, base):
     labelled = _labelled(spark, base)
     _, flagged = _flagged(labelled)
-    return shape.compactness(labelled, flagged)
+    out = shape.compactness(labelled, flagged)
+    return out.withColumn("mean_dtw", F.round("mean_dtw", 6)).withColumn("outlier_share", F.round("outlier_share", 6))
 
 
 _CENTROID = {
