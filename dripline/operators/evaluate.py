@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dripline.functions import scalars as S
 from dripline.operators.quality import ENSEMBLE_GAIN
+from dripline.session import cut
 
 # Ensemble weights, coarse and fine.
 ALPHAS = [round(0.1 * i, 1) for i in range(1, 10)]
@@ -45,71 +46,65 @@ def error_counts(preds: DataFrame, by: str = "pattern") -> DataFrame:
 
 
 def box_summary(df: DataFrame, value: str, by: str) -> DataFrame:
-    """Minimum, quartiles and maximum per group.
-
-    ``percentile`` merges value counts, so its state grows with the distinct values: round the values first
-    when the table is very large.
-    """
-    q = F.percentile(value, F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(1.0)))
-    names = ["low", "q1", "median", "q3", "high"]
-    return df.groupBy(by).agg(q.alias("q")).select(by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    """Minimum, quartiles and maximum per group."""
+    return quantiles(df, value, [by], {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
 
 
 def quantiles(
     df: DataFrame, value: str, by: list[str], wanted: dict[str, float], weight: str | None = None
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, at any size.
+    """Exact quantiles with linear interpolation, at any size; ``weight`` counts a row several times.
 
-    Distinct values with their counts are accumulated in order; the rows at the two ranks around each quantile are
-    read from that running count. No group is collected, and a hot group is only as large as its number of
-    distinct values. ``weight`` counts a row several times.
+    Only the values around the wanted ranks matter. Equal-width buckets are counted twice, the second time inside the
+    buckets that hold a wanted rank; the values left over are put in order and read. Groups are only ever counted by
+    partial aggregation, and the ordered rest is about a millionth of a smooth group.
     """
     n_rows = F.sum(weight) if weight else F.count("*")
-    counts = df.groupBy(*by, value).agg(n_rows.alias("c"))
-    total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-    chunk = _rank_chunks(counts, value, by)
-    pos = chunk.join(total, by) if by else chunk.withColumn("n", total.scalar())
+    keys = [*by, "_g"]
+    tied = df.select("*", F.lit(0).alias("_g")).groupBy(*keys, F.col(value).cast("double").alias("_v"))
+    counts = cut(tied.agg(n_rows.alias("_c")))  # several passes follow
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    ends = [f((F.col("_n") - 1) * q).cast("long") for q in wanted.values() for f in (F.floor, F.ceil)]
+    ranks = sizes.select(*keys, "_n", F.array_distinct(F.array(*ends)).alias("_ranks"))
+    rows = counts.withColumn("_base", F.lit(0).cast("long"))
+    part = keys
+    for level in ("_b1", "_b2"):
+        rows = _around_ranks(rows, ranks, keys, part, level)
+        part = [*part, level]
+    before = F.sum("_c").over(W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, -1))
+    placed = rows.withColumn("_start", F.col("_base") + F.coalesce(before, F.lit(0))).join(sizes, keys)
 
     def at(q: float) -> Column:
-        rank = (F.col("n") - 1) * q
+        rank = (F.col("_n") - 1) * q
         low, high = F.floor(rank), F.ceil(rank)
 
-        def inside(r: Column) -> Column:
-            return (F.col("start") <= r) & (r < F.col("start") + F.col("c"))
-
-        v_low = F.max(F.when(inside(low), F.col(value).cast("double")))
-        v_high = F.max(F.when(inside(high), F.col(value).cast("double")))
-        return v_low + (v_high - v_low) * F.max(rank - low)
+        def value_at(r: Column) -> Column:
+            return F.max(F.when((F.col("_start") <= r) & (r < F.col("_start") + F.col("_c")), F.col("_v")))
 
-    return pos.groupBy(*by).agg(*[at(q).alias(name) for name, q in wanted.items()])
+        return value_at(low) + (value_at(high) - value_at(low)) * F.max(rank - low)
 
+    return placed.groupBy(*keys).agg(*[at(q).alias(name) for name, q in wanted.items()]).drop("_g")
 
-def quartiles(df: DataFrame, value: str, by: list[str], weight: str | None = None) -> DataFrame:
-    return quantiles(df, value, by, {"q1": 0.25, "q3": 0.75}, weight)
 
+def _around_ranks(
+    rows: DataFrame, ranks: DataFrame, keys: list[str], part: list[str], name: str, buckets: int = 1024
+) -> DataFrame:
+    """Rows of those equal-width buckets of each part that contain a wanted rank, with the count before them."""
+    ends = rows.groupBy(*part).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / buckets
+    bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(0)
+    put = rows.join(ends, part).withColumn(name, bucket.cast("int")).drop("_lo", "_hi")
+    sums = put.groupBy(*part, name).agg(F.sum("_c").alias("_k"), F.first("_base").alias("_base"))
+    # At most ``buckets`` rows per part.
+    over = W.partitionBy(*part).orderBy(name).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.col("_base") + F.coalesce(F.sum("_k").over(over), F.lit(0)))
+    holds = F.exists("_ranks", lambda r: (r >= F.col("_base")) & (r < F.col("_base") + F.col("_k")))
+    hits = sums.join(ranks, keys).filter(holds).select(*part, name, "_base")
+    return put.drop("_base").join(hits, [*part, name])
 
-def _rank_chunks(counts: DataFrame, value: str, by: list[str], buckets: int = 64) -> DataFrame:
-    """Running count (exclusive) of each distinct value within its group, in two levels.
 
-    Values fall into equal-width buckets between the group's ends; bucket totals are accumulated first and
-    each bucket is then accumulated by itself, so no window holds a whole group.
-    """
-    v = F.col(value).cast("double")
-    ends = counts.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    if by:
-        wide = counts.join(ends, by)
-    else:
-        wide = counts.withColumn("_lo", ends.select("_lo").scalar()).withColumn("_hi", ends.select("_hi").scalar())
-    width = (F.col("_hi") - F.col("_lo")) / buckets
-    b = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(0)
-    wide = wide.withColumn("_b", b)
-    sums = wide.groupBy(*by, "_b").agg(F.sum("c").alias("_bc"))
-    over = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.withColumn("_off", F.coalesce(F.sum("_bc").over(over), F.lit(0))).drop("_bc")
-    inner = W.partitionBy(*by, "_b").orderBy(v).rowsBetween(W.unboundedPreceding, -1)
-    return wide.join(offsets, [*by, "_b"]).withColumn(
-        "start", F.col("_off") + F.coalesce(F.sum("c").over(inner), F.lit(0))
-    )
+def quartiles(df: DataFrame, value: str, by: list[str], weight: str | None = None) -> DataFrame:
+    return quantiles(df, value, by, {"q1": 0.25, "q3": 0.75}, weight)
 
 
 def upper_fence(
