@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from dripline.session import cut, scratch_path
 
@@ -105,10 +106,7 @@ def per_text(
     """
     names = docs.columns if carry is None else carry
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    schema = rows.select("row").schema
-    for part in fields.split(","):
-        name, kind = part.split()
-        schema = schema.add(name, kind)
+    schema = StructType([*rows.select("row").schema.fields, *StructType.fromDDL(fields).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
