@@ -207,9 +207,9 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", carry: list[str
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def good_documents(docs: DataFrame, trees: Trees) -> DataFrame:
     """The documents predicted to be good, with the columns of ``docs``."""
-    return score(docs, train(docs, labels)).filter("predicted = 1").select("row.*")
+    return score(docs, trees).filter("predicted = 1").select("row.*")
 
 
 @query("op3_quality_trees")
