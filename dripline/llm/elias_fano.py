@@ -72,7 +72,9 @@ class EliasFano:
                 lo[open_[less]] = mid[less] + 1
                 hi[open_[~less]] = mid[~less]
             place[k : k + block] = lo
-            inside = np.flatnonzero(lo < end)
+            beyond = t >= self.universe
+            place[k : k + block][beyond] = self.n
+            inside = np.flatnonzero((lo < end) & ~beyond)
             hit[k + inside] = self._low(lo[inside]) == low[inside]
         return place, hit
 
