@@ -166,7 +166,8 @@ def importance_with_vif(importance: DataFrame, vifs: DataFrame, k: int = 10) ->
 
 
 def union_of_tops(importance: DataFrame, per_scope: int = 5, limit: int = 8) -> DataFrame:
-    """Union of the top features over the scopes, first names in order."""
+    """Union of the top features over the scopes: the ``limit`` with the best rank in any scope, ties to the larger gain."""
     w = W.partitionBy("scope").orderBy(F.col("gain").desc(), "feature")
     top = importance.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_scope)
-    return top.select("feature").distinct().orderBy("feature").limit(limit)
+    best = top.groupBy("feature").agg(F.min("_r").alias("rank"), F.max("gain").alias("gain"))
+    return best.orderBy("rank", F.col("gain").desc(), "feature").limit(limit).select("feature", "rank")

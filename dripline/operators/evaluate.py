@@ -127,8 +127,8 @@ def flag_outliers(
 def split_by_date(df: DataFrame) -> DataFrame:
     """Train / valid / holdout per person by date rank.
 
-    29 dates or more: 20 / 5 / 4, later dates are left out (``unused``). 5 to 28: 70 % (at least 3) / 15 %
-    (at least 1) / rest. Fewer than 5: rows are split 70 / 30 by a hash of their keys.
+    29 dates or more: the last 4 are held out, the 5 before them validate, all earlier ones train. 5 to 28: 70 %
+    (at least 3) / 15 % (at least 1) / rest. Fewer than 5: rows are split 70 / 30 by a hash of their keys.
     """
     keys = ["pattern", "person_id"]
     dates = df.select(*keys, "date").distinct()
@@ -137,7 +137,7 @@ def split_by_date(df: DataFrame) -> DataFrame:
     n, r = F.col("_n"), F.col("_r")
     train = F.greatest(F.floor(n * 0.7), F.lit(3))
     valid = F.greatest(F.floor(n * 0.15), F.lit(1))
-    long_split = F.when(r <= 20, "train").when(r <= 25, "valid").when(r <= 29, "holdout").otherwise("unused")
+    long_split = F.when(r <= n - 9, "train").when(r <= n - 4, "valid").otherwise("holdout")
     short_split = F.when(r <= train, "train").when(r <= train + valid, "valid").otherwise("holdout")
     ranked = ranked.withColumn("split", F.when(n >= 29, long_split).when(n >= 5, short_split)).drop("_r", "_n")
     joined = df.join(ranked, [*keys, "date"])

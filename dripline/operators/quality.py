@@ -112,12 +112,14 @@ def gates(metrics: DataFrame, limits: dict[str, float], at_most: tuple[str, ...]
 
 
 def cluster_gate(stats: DataFrame) -> DataFrame:
-    """Silhouette high enough and enough rows (or a large enough share of them) inside clusters."""
+    """Silhouette high enough and a large enough share of the rows inside clusters, whatever their number.
+
+    ``many_rows`` reports beside it whether the clusters hold at least 500 rows.
+    """
     good = F.coalesce(F.col("silhouette") >= MIN_SILHOUETTE, F.lit(False))
-    covered = (F.col("clustered") >= MIN_CLUSTERED_ROWS) | (F.col("coverage") >= MIN_COVERAGE)
-    return stats.withColumn("silhouette_ok", good).withColumn("covered_ok", covered).withColumn(
-        "passed", good & covered
-    )
+    covered = F.col("coverage") >= MIN_COVERAGE
+    many = F.col("clustered") >= MIN_CLUSTERED_ROWS
+    return stats.withColumns({"silhouette_ok": good, "covered_ok": covered, "many_rows": many, "passed": good & covered})
 
 
 def unknown_gate(ratio: Column) -> Column:

@@ -15,7 +15,7 @@ from dripline.functions.dtw import dtw_cumulative_distance, dtw_distance, dtw_ta
 from dripline.operators import evaluate
 from dripline.operators.components import components
 from dripline.operators.grid import DAY
-from dripline.operators.quality import MIN_CLUSTERED_ROWS, MIN_COVERAGE, MIN_SILHOUETTE, cluster_gate
+from dripline.operators.quality import MIN_COVERAGE, MIN_SILHOUETTE, cluster_gate
 from dripline.operators.tiles import compare_tiles, compare_within, distances, matrix, row_key
 from dripline.session import cut
 
@@ -23,7 +23,7 @@ from dripline.session import cut
 EPS, MIN_SAMPLES = 0.9, 3
 EPS_RANGE, MIN_SAMPLES_RANGE = (0.3, 1.5), (3, 10)
 TRIES = 5
-SMALL_INPUT = 500
+SMALL_INPUT = 500  # only reported
 FENCE_FACTOR = 0.5
 
 Params = dict[str, tuple[float, int]]
@@ -199,7 +199,7 @@ def coverage(labelled: DataFrame) -> DataFrame:
     return (
         labelled.groupBy("pattern")
         .agg(inside.alias("clustered"), (inside / F.sum("weight")).alias("coverage"))
-        .withColumn("covered", (F.col("clustered") >= MIN_CLUSTERED_ROWS) | (F.col("coverage") >= MIN_COVERAGE))
+        .withColumn("covered", F.col("coverage") >= MIN_COVERAGE)
     )
 
 
@@ -298,18 +298,14 @@ def sweep(vectors: DataFrame, tries: int = TRIES, small: int = SMALL_INPUT) -> t
     """Cluster every pattern until its gates pass, adjusting its parameters between tries.
 
     All patterns still open are clustered in the same jobs; the driver sees one row of gate values per pattern and
-    try. After the last try one more run with the adjusted parameters is kept with status ``warning``. Patterns with
-    fewer than ``small`` rows form one cluster, also a warning. Returns the labels and the log of tries.
+    try. After the last try one more run with the adjusted parameters is kept with status ``warning``. The log marks
+    patterns with fewer than ``small`` rows; they are clustered like all others. Returns the labels and the log of tries.
     """
     vectors = cut(vectors)
     log: list[tuple] = []
     sizes = {r["pattern"]: r["n"] for r in vectors.groupBy("pattern").agg(F.sum("weight").alias("n")).collect()}
-    open_: Params = {p: (EPS, MIN_SAMPLES) for p, n in sizes.items() if n >= small}
+    open_: Params = {p: (EPS, MIN_SAMPLES) for p in sizes}
     done: list[DataFrame] = []
-    tiny = [p for p, n in sizes.items() if n < small]
-    if tiny:
-        done.append(vectors.filter(F.col("pattern").isin(tiny)).select("pattern", "vec", "weight", "row_key", F.lit(0).alias("label")))
-        log += [(p, 0, None, None, None, 1.0, sizes[p], "warning") for p in sorted(tiny)]
     for attempt in range(1, tries + 2):
         if not open_:
             break
@@ -325,7 +321,7 @@ def sweep(vectors: DataFrame, tries: int = TRIES, small: int = SMALL_INPUT) -> t
             status = "success" if r["passed"] and not last else "warning" if last else "retry"
             if last and r["clustered"] == 0:
                 status = "error"
-            log.append((p, attempt, eps, least, r["silhouette"], r["coverage"], r["clustered"], status))
+            log.append((p, attempt, eps, least, r["silhouette"], r["coverage"], r["clustered"], status, sizes[p] < small))
             if status == "retry":
                 outcome = "no_clusters" if r["clustered"] == 0 else "clusters"
                 left[p] = next_params(eps, least, outcome, r["silhouette_ok"], r["covered_ok"])
@@ -336,13 +332,13 @@ def sweep(vectors: DataFrame, tries: int = TRIES, small: int = SMALL_INPUT) -> t
                 labelled.filter(F.col("pattern").isin(closed)).select("pattern", "vec", "weight", "row_key", "label")
             )
         open_ = left
-    labels = done[0]
-    for df in done[1:]:
+    labels = vectors.select("pattern", "vec", "weight", "row_key", F.lit(-1).alias("label")).limit(0)
+    for df in done:
         labels = labels.unionByName(df)
     return labels, log
 
 
-SWEEP_SCHEMA = "pattern string, attempt int, eps double, min_samples int, silhouette double, coverage double, clustered long, status string"
+SWEEP_SCHEMA = "pattern string, attempt int, eps double, min_samples int, silhouette double, coverage double, clustered long, status string, small boolean"
 
 
 def _dtw_sums(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -133,7 +133,7 @@ _CTES["preds"] = (
 _CTES["splits"] = (
     ("preds",),
     """SELECT person_id, date, CASE WHEN n >= 29 THEN
-          CASE WHEN r <= 20 THEN 'train' WHEN r <= 25 THEN 'valid' WHEN r <= 29 THEN 'holdout' ELSE 'unused' END
+          CASE WHEN r <= n - 9 THEN 'train' WHEN r <= n - 4 THEN 'valid' ELSE 'holdout' END
         WHEN n >= 5 THEN CASE WHEN r <= greatest(floor(n * 0.7), 3) THEN 'train'
           WHEN r <= greatest(floor(n * 0.7), 3) + greatest(floor(n * 0.15), 1) THEN 'valid' ELSE 'holdout' END END AS split
        FROM (SELECT person_id, date, row_number() OVER (PARTITION BY person_id ORDER BY date) AS r,

@@ -193,24 +193,24 @@ def drop_missing(spark, base):
 
 @query(
     "dedup_events",
-    """SELECT person_id, minute, event_id, type FROM (SELECT user_id AS person_id, strftime(ts, '%Y-%m-%d %H') AS minute, event_id,
-       event_type AS type, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d %H') ORDER BY event_id) AS r
+    """SELECT person_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS moment, event_id, type FROM (SELECT user_id AS person_id, ts, event_id,
+       event_type AS type, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS r
        FROM events) WHERE r = 1""",
 )
 def dedup_events(spark, base):
-    """One event per person and hour, the one with the lowest id."""
-    ev = usage_events(spark, base).withColumn("minute", F.date_format("ts", "yyyy-MM-dd HH"))
-    out = quality.first_per_moment(ev.select("person_id", "minute", "event_id", "type"), ["person_id", "minute"], ["event_id"])
-    return out
+    """One event per person and time stamp, the one with the lowest id."""
+    ev = usage_events(spark, base).select("person_id", "ts", "event_id", "type")
+    first = quality.first_per_moment(ev, ["person_id", "ts"], ["event_id"])
+    return first.select("person_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("moment"), "event_id", "type")
 
 
 @query(
     "min_points",
     """SELECT user_id AS person_id, event_id FROM events WHERE user_id IN
-       (SELECT user_id FROM events GROUP BY user_id HAVING COUNT(*) >= 60)""",
+       (SELECT user_id FROM events GROUP BY user_id HAVING COUNT(*) >= 30)""",
 )
 def min_points(spark, base):
-    return quality.with_minimum_rows(usage_events(spark, base), ["person_id"], 60).select("person_id", "event_id")
+    return quality.with_minimum_rows(usage_events(spark, base), ["person_id"], 30).select("person_id", "event_id")
 
 
 @query(
@@ -242,7 +242,7 @@ _HISTORY = {
     "decline_runs",
     with_ctes(
         """SELECT scope, date, r2, accuracy, CAST(SUM(fell) OVER (PARTITION BY scope, island ORDER BY date) AS BIGINT) AS decline_days,
-           SUM(fell) OVER (PARTITION BY scope, island ORDER BY date) >= 3 AS restart
+           SUM(fell) OVER (PARTITION BY scope, island ORDER BY date) >= 14 AS restart
            FROM (SELECT *, SUM(1 - fell) OVER (PARTITION BY scope ORDER BY date) AS island FROM (
              SELECT *, CASE WHEN r2 < COALESCE(LAG(r2) OVER w, 0) AND accuracy < COALESCE(LAG(accuracy) OVER w, 0) THEN 1 ELSE 0 END AS fell
              FROM hist WINDOW w AS (PARTITION BY scope ORDER BY date)))""",
@@ -251,20 +251,20 @@ _HISTORY = {
     ),
 )
 def decline_runs(spark, base):
-    return quality.decline_runs(I.daily_scores(spark, base), days=3)
+    return quality.decline_runs(I.daily_scores(spark, base), days=14)
 
 
 @query(
     "metric_last",
     with_ctes(
         """SELECT scope, date, r2, accuracy FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY date DESC) AS r FROM hist)
-           WHERE r <= 7""",
+           WHERE r <= 30""",
         "preds",
         extra=_HISTORY,
     ),
 )
 def metric_last(spark, base):
-    return sinks.keep_last(I.daily_scores(spark, base), ["scope"], "date", 7)
+    return sinks.keep_last(I.daily_scores(spark, base), ["scope"], "date", 30)
 
 
 @query("metric_lookup", with_ctes("SELECT date, r2, accuracy FROM hist WHERE scope = 'B'", "preds", extra=_HISTORY))
@@ -380,7 +380,7 @@ def shape_drift(spark, base):
     return quality.shape_drift(weekly, ["pattern"]).withColumn("change", F.round("change", 6))
 
 
-_CORR = features.FEATURES[:8] + ["prev_output"]
+_CORR = features.FEATURES
 
 
 @query(

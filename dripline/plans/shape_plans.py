@@ -107,7 +107,7 @@ def cluster_counts(spark, base):
 
 @query(
     "cluster_coverage",
-    with_ctes("SELECT *, clustered >= 500 OR coverage >= 0.95 AS covered FROM cov", "vecs", extra=_DENSE),
+    with_ctes("SELECT *, coverage >= 0.95 AS covered FROM cov", "vecs", extra=_DENSE),
 )
 def cluster_coverage(spark, base):
     return shape.coverage(_labelled(spark, base))
@@ -129,8 +129,8 @@ def silhouette(spark, base):
 @query(
     "cluster_gate",
     with_ctes(
-        """SELECT *, clustered >= 500 OR coverage >= 0.95 AS covered, silhouette >= 0.6 AS silhouette_ok,
-           clustered >= 500 OR coverage >= 0.95 AS covered_ok, silhouette >= 0.6 AND (clustered >= 500 OR coverage >= 0.95) AS passed
+        """SELECT *, coverage >= 0.95 AS covered, silhouette >= 0.6 AS silhouette_ok,
+           coverage >= 0.95 AS covered_ok, clustered >= 500 AS many_rows, silhouette >= 0.6 AND coverage >= 0.95 AS passed
            FROM (SELECT c.*, s.silhouette FROM cov c LEFT JOIN (SELECT pattern, round(SUM(s * w) / SUM(w), 6) AS silhouette
                  FROM sil GROUP BY pattern) s ON s.pattern = c.pattern)""",
         "vecs", extra=_DENSE,

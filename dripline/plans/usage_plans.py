@@ -468,14 +468,14 @@ def list_parsing(spark, base):
     with_ctes(
         """SELECT pattern, COUNT(*) AS n, CAST(SUM(amount) AS DOUBLE) AS amount FROM (
            SELECT * FROM slots WHERE pattern = 'A' UNION ALL SELECT * FROM slots WHERE pattern = 'B'
-           UNION ALL SELECT * FROM slots WHERE pattern = 'C') GROUP BY pattern""",
+           UNION ALL SELECT * FROM slots WHERE pattern = 'C' UNION ALL SELECT * FROM slots WHERE pattern = 'D') GROUP BY pattern""",
         "slots",
     ),
 )
 def union_patterns(spark, base):
     s = I.slots(spark, base)
-    a, b, c = (s.filter(F.col("pattern") == p) for p in "ABC")
-    merged = a.unionByName(b).unionByName(c)
+    a, b, c, d = (s.filter(F.col("pattern") == p) for p in "ABCD")
+    merged = a.unionByName(b).unionByName(c).unionByName(d)
     return merged.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
 
 

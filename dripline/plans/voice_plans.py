@@ -124,5 +124,5 @@ def kmeans_clusters(spark, base):
 @query("mahalanobis_top1")
 def mahalanobis_top1(spark, base):
     flat, cols = _flat(spark, base)
-    clusters = voice.mixture_clusters(voice.standardised(flat, cols), k=4)
+    clusters = voice.mixture_clusters(voice.standardised(flat, cols), k=10)
     return voice.drop_farthest(voice.mahalanobis(cut(clusters.drop("features")), cols)).select("vec_id", "cluster", "distance", "outlier")

@@ -100,7 +100,20 @@ def test_personal_models_score_validation_and_holdout(spark):
     assert len(got) == 9 * 8
     assert all(abs(r["personal"] - r["actual"]) < 10 for r in got)
     few = evaluate.split_by_date(personal_rows(spark, 5, 1))
-    assert regress.personal_predictions(few, ["f1", "f2"], trees=5).count() == 0
+    got = regress.personal_predictions(few, ["f1", "f2"], trees=5).collect()
+    assert sorted(r["split"] for r in got) == ["holdout", "valid"]
+    assert all((r["personal"], r["tries"], r["status"]) == (120.0, 0, "skipped") for r in got)
+
+
+def test_small_patterns_are_scored_by_the_shared_model(spark):
+    many = personal_rows(spark, 20, 8)
+    df = many.union(personal_rows(spark, 5, 8).withColumn("pattern", F.lit("B"))).cache()
+    models = regress.fit_patterns(df, ["f1", "f2"], rounds=2)
+    shared = regress.fit_global(df, ["f1", "f2"], rounds=2)
+    got = regress.predict_patterns(models, df, ["f1", "f2"], shared=shared).groupBy("pattern", "status").count()
+    assert {tuple(r) for r in got.collect()} == {("A", "fitted", 160), ("B", "skipped", 40)}
+    none = regress.predict_patterns({}, df, ["f1", "f2"])
+    assert none.count() == 200 and none.filter("pred is not null").count() == 0
 
 
 def test_global_fit_importance_and_folds(spark):

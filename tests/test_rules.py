@@ -85,7 +85,7 @@ def test_quantiles_equal_numpy_with_weights_and_ties(spark):
 
 @pytest.mark.parametrize(
     "days,want",
-    [(31, (20, 5, 4, 2)), (29, (20, 5, 4, 0)), (28, (19, 4, 5, 0)), (5, (3, 1, 1, 0)), (6, (4, 1, 1, 0))],
+    [(365, (356, 5, 4)), (31, (22, 5, 4)), (29, (20, 5, 4)), (28, (19, 4, 5)), (5, (3, 1, 1)), (6, (4, 1, 1))],
 )
 def test_date_split(spark, days, want):
     start = dt.date(2024, 1, 1)
@@ -93,7 +93,7 @@ def test_date_split(spark, days, want):
     df = spark.createDataFrame(rows, "pattern string, person_id long, date date, hour int")
     got = evaluate.split_by_date(df).groupBy("split").agg(F.countDistinct("date").alias("n"))
     n = {r["split"]: r["n"] for r in got.collect()}
-    assert tuple(n.get(s, 0) for s in ("train", "valid", "holdout", "unused")) == want
+    assert set(n) == {"train", "valid", "holdout"} and tuple(n[s] for s in ("train", "valid", "holdout")) == want
 
 
 def test_few_dates_are_split_by_row_hash(spark):
@@ -162,7 +162,7 @@ def test_ranges_reject_nulls_and_outliers(spark):
 
 def test_gates(spark):
     stats = spark.createDataFrame([("A", 0.6, 10, 0.95), ("B", 0.7, 500, 0.1), ("C", 0.59, 900, 1.0), ("D", None, 0, 0.0)], "scope string, silhouette double, clustered long, coverage double")
-    assert {r["scope"]: r["passed"] for r in quality.cluster_gate(stats).collect()} == {"A": True, "B": True, "C": False, "D": False}
+    assert {r["scope"]: r["passed"] for r in quality.cluster_gate(stats).collect()} == {"A": True, "B": False, "C": False, "D": False}
     m = spark.createDataFrame([("x", 0.6, 60.0, 30.0)], "scope string, r2 double, accuracy double, rmse double")
     got = {r["metric"]: r["passed"] for r in quality.gates(m, quality.BASE_LIMITS, ("rmse",)).collect()}
     assert got == {"r2": True, "accuracy": True, "rmse": False}
