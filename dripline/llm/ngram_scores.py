@@ -7,7 +7,7 @@ The model is a bigram model with absolute discounting over an open vocabulary:
 
 After an unknown word P(w | v) is P(w). A text starts after a start mark and closes with an end token.
 
-All counts cover all training texts. Texts are cut into chunks of about two million tokens, written once. A chunk asks
+All counts cover all training texts. Texts are cut into chunks of about a million tokens, written once. A chunk asks
 for its distinct words and bigrams only, at shards that own them: a shard adds up the counts of all chunks, builds its
 part of the trie in mapped memory, and answers each chunk in the order it asked. Words are dealt to shards by hash,
 bigrams by their first word; a first word with a large share of all tokens is spread over several shards.
@@ -30,7 +30,7 @@ from dripline.llm.common import bucket, by_offsets, bytes_of, lower_words, map_b
 from dripline.llm.elias_fano import Trie, probabilities
 
 FOLDS, HELD_OUT = 5, 1
-CHUNK_TOKENS, DISCOUNT = 2_000_000, 0.75
+CHUNK_TOKENS, DISCOUNT = 1_000_000, 0.75
 #: Chunks per shard: keeps both the rows of a shard and the number of pieces small.
 CHUNKS_PER_SHARD = 4
 _END = b" "  # never a word
