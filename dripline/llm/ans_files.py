@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from dripline.llm.bpe_codec import default_path
 from dripline.llm.bpe_prefix import Memo
 from dripline.llm.catalog import query
-from dripline.llm.common import bytes_of, map_batches, small_side, table
+from dripline.llm.common import bytes_of, map_batches, small_side, table, written
 from dripline.session import scratch_path
 
 END, SCALE_BITS, LANES, BLOCK_IDS, CHECKPOINT_STEPS = 2, 20, 2048, 1 << 20, 256
@@ -146,7 +145,7 @@ class LibraryIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
         self.known = Memo()
 
     def _ask(self, words: list[bytes]) -> list[list[int]]:
@@ -154,8 +153,6 @@ class LibraryIds:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, cut: list[list[bytes]]) -> None:
-        if all(map(self.known.__contains__, chain.from_iterable(cut))):
-            return
         new = self.known.missing(chain.from_iterable(cut))
         if not self.known:  # it was reset
             new = set(chain.from_iterable(cut))
@@ -170,37 +167,41 @@ class LibraryIds:
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
-    def count(self, texts: list[bytes]) -> np.ndarray:
-        """How often each id occurs: words are counted, and each distinct word is looked up once."""
-        counts = Counter(chain.from_iterable(t.split() for t in texts))
-        self.learn([list(counts)])
-        if not counts:
-            return np.zeros(self.size, np.int64)
-        packed = [self.known[w] for w in counts]
-        times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(p) // 4 for p in packed])
-        ids = np.frombuffer(b"".join(packed), "<u4")
-        return np.bincount(ids, times, self.size).astype(np.int64)
-
 
 @lru_cache(maxsize=2)
 def library(path: str) -> LibraryIds:
     return LibraryIds(path)
 
 
-def id_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, kind: str, text_col: str, id_col: str, end: int) -> DataFrame:
+    """(doc, ids): the ids of every text and its end as packed numbers, written once; the library is not asked again."""
+    close = struct.pack("<I", end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [x + close for x in library(path).encode(bytes_of(batch.column(1)))]
+            ids = np.frombuffer(b"".join(packed), "<u4").astype(kind)
+            ends = np.cumsum([0, *map(len, packed)]) // 4 * ids.itemsize
+            values = pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc", "ids"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    return written(map_batches(texts, run, "doc long, ids binary"), "encoded")
+
+
+def id_counts(ids: DataFrame, kind: str) -> DataFrame:
     """(id, n): counts of all ids of all texts. A task gives one row per id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            got = library(path).count(bytes_of(batch.column(0)))
-            total = got if total is None else total + got
-        if total is not None:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+            got = np.bincount(np.frombuffer(b"".join(bytes_of(batch.column(0))), kind), minlength=len(total))
+            got[: len(total)] += total
+            total = got
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    rows = map_batches(docs.select(F.col(text_col).cast("binary").alias("text")), run, "id long, n long")
-    return rows.groupBy("id").agg(F.sum("n").alias("n"))
+    return map_batches(ids.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, folder: str, path: str, text_col: str = "text", id_col: str = "doc_id", end: int = END) -> None:
@@ -210,11 +211,12 @@ def write_ids(docs: DataFrame, folder: str, path: str, text_col: str = "text", i
     rows are written each. Texts are never cut: a block takes whole documents and ends with the one that fills it.
     """
     spark = docs.sparkSession
-    rows = id_counts(docs, path, text_col).collect()  # one row per id of the vocabulary at most
+    kind = "<u2" if max(library(path).size, end + 1) <= 1 << 16 else "<u4"
+    texts = encoded(docs, path, kind, text_col, id_col, end)
+    rows = id_counts(texts, kind).collect()  # one row per id of the vocabulary at most
     counts = np.zeros(max([end, *(r.id for r in rows)]) + 1, dtype=np.int64)
     for r in rows:
         counts[r.id] = r.n
-    counts[end] += docs.count()
     freq = Frequencies.of_counts(counts)
     scaled = freq.scaled.astype("<u4").tobytes()
     spark.createDataFrame([(bytearray(scaled),)], "scaled binary").coalesce(1).write.parquet(f"{folder}/frequencies")
@@ -225,11 +227,10 @@ def write_ids(docs: DataFrame, folder: str, path: str, text_col: str = "text", i
         held: list[bytes] = []
         owners: list[int] = []
         size = 0
-        close = struct.pack("<I", end)
 
         def block() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in held], dtype=np.int64)
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.frombuffer(b"".join(held), kind).astype("<u4")
+            lengths = np.array([len(x) for x in held], dtype=np.int64) // np.dtype(kind).itemsize
             data = encode_block(ids, np.array(owners, dtype=np.int64), lengths, freq)
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "block": pa.array([number], pa.int32()),
@@ -237,11 +238,10 @@ def write_ids(docs: DataFrame, folder: str, path: str, text_col: str = "text", i
             })
 
         for batch in batches:
-            packed = library(path).encode(bytes_of(batch.column(1)))
-            for owner, ids in zip(batch.column(0).to_pylist(), packed):
-                held.append(ids + close)
+            for owner, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append(ids)
                 owners.append(-(1 << 63) if owner is None else owner)
-                size += len(held[-1]) // 4
+                size += len(ids) // np.dtype(kind).itemsize
                 if size >= BLOCK_IDS:
                     yield block()
                     held, owners, size, number = [], [], 0, number + 1
@@ -249,8 +249,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, text_col: str = "text", i
             yield block()
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    placed = texts.repartitionByRange(n, "doc", F.xxhash64("text")).sortWithinPartitions("doc", F.xxhash64("text"))
+    placed = texts.repartitionByRange(n, "doc", F.xxhash64("ids")).sortWithinPartitions("doc", F.xxhash64("ids"))
     map_batches(placed, run, "part int, block int, ids long, data binary").write.parquet(f"{folder}/blocks")
 
 
