@@ -150,9 +150,9 @@ def _asked(terms: DataFrame, lists: DataFrame, total: int, owners: int) -> tuple
         before += v
     items = asked.select("item").distinct()
     groups = max(1, -(-items.count() // GROUP_ITEMS))
-    slot = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("int")
-    items = items.repartition(groups, "item").select(F.col("item").alias("name"), F.spark_partition_id().alias("grp"), slot.alias("slot"))
-    items = written(items, "items")
+    items = items.select(F.col("item").alias("name"), F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int").alias("grp"))
+    slot = F.row_number().over(Window.partitionBy("grp").orderBy("name")) - 1
+    items = written(items.withColumn("slot", slot), "items")
     owner = F.element_at(F.array(*map(F.lit, owner_of)), octave + 1)
     slots = asked.join(items, F.col("item").eqNullSafe(F.col("name"))).select("grp", "slot", "term", "times", "w", owner.alias("owner"))
     return written(slots, "slots"), items, groups
