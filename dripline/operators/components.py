@@ -28,7 +28,7 @@ def _small_star(edges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def components(edges: DataFrame, by: list[str], max_rounds: int = 60) -> DataFrame:
-    """Smallest node id reachable from each node that has an edge: (by, node, root).
+    """Smallest node id reachable from each node that has an edge, that node itself too: (by, node, root).
 
     Minimums are taken by partial aggregation, so a hub with very many edges is no single task; rounds grow
     with the logarithm of the longest chain. Each round is checkpointed to keep the lineage short.
@@ -43,4 +43,5 @@ def components(edges: DataFrame, by: list[str], max_rounds: int = 60) -> DataFra
         seen = mark
     else:
         raise RuntimeError("components did not settle")
-    return current.select(*by, F.col("a").alias("node"), F.col("b").alias("root"))
+    stars = current.select(*by, F.col("a").alias("node"), F.col("b").alias("root"))
+    return stars.unionByName(stars.select(*by, F.col("root").alias("node"), "root").distinct())
