@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from dripline.llm import conversation_repair, term_pipeline
+from dripline.llm import chosen_paths, conversation_repair, simhash_anchors, term_pipeline
 from dripline.llm.queries import QUERIES
 
 BASE = "/root/testdata/sf0.001"
@@ -193,3 +193,105 @@ def test_ranked_search_of_empty_tables(spark):
     d, q = (spark.read.parquet(f"{BASE}/{t}.parquet") for t in ("documents", "benchmark"))
     for a, b in ((d.filter("1 = 0"), q), (d, q.filter("1 = 0"))):
         assert term_pipeline.top_documents(a, b).count() == 0
+
+
+def shingles(text, k=4):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def linked_by_hand(docs, percent=80):
+    """(doc, size, component) of each row, and the number of links between different sets."""
+    sets = {}
+    for doc, text in docs:
+        sets.setdefault(shingles(text), []).append(doc)
+    keys = [s for s in sets if s]
+    parent, holders, links = list(range(len(keys))), {}, 0
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in enumerate(keys):
+        common = Counter(j for x in s for j in holders.get(x, ()))
+        for j, both in common.items():
+            if 100 * both >= percent * (len(s) + len(keys[j]) - both):
+                parent[root(i)] = root(j)
+                links += 1
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    least = {}
+    for i, s in enumerate(keys):
+        named = [d for d in sets[s] if d is not None]
+        least[root(i)] = min([*named, least.get(root(i))], key=lambda d: (d is None, d))
+    place = {s: i for i, s in enumerate(keys)}
+    rows = [(d, len(shingles(t)), least[root(place[shingles(t)])] if shingles(t) else d) for d, t in docs]
+    return Counter(rows), links
+
+
+def varied(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("leaf, depth", [(1024, 4), (12, 4), (12, 1), (6, 2)])
+def test_chosen_paths_equal_brute_force(spark, monkeypatch, leaf, depth):
+    """Families of near copies around the threshold, a passage that many share, and odd texts; also with tiny leaves."""
+    monkeypatch.setattr(chosen_paths, "LEAF", leaf)
+    monkeypatch.setattr(chosen_paths, "DEPTH", depth)
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = fresh(60), []
+    for _ in range(12):
+        base = fresh(rng.randint(20, 150))
+        texts += [varied(rng, base, rng.randrange(4)) for _ in range(rng.randint(2, 9))]
+    big = fresh(120)
+    texts += [varied(rng, big, rng.randrange(5)) for _ in range(60)]  # similarities on both sides of 0.8
+    texts += [" ".join(passage + fresh(40)) for _ in range(40)]
+    texts += [" ".join(fresh(30)) for _ in range(30)]
+    texts += [texts[0]] * 3 + [texts[1].upper(), "a b c", "a  b\nc", "A B C d", "", " \n", None, "x", "long " * 20000, "long " * 30000, "É é", "é É"]
+    docs = list(enumerate(texts)) + [(None, texts[3]), (None, "no id at all here"), (7, texts[20]), (5, texts[5]), (5, texts[5])]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("sig", F.lit("x")).withColumn("key", F.lit(1.5))
+    want, links = linked_by_hand(docs)
+    assert links > 300
+    assert Counter(map(tuple, chosen_paths.near_duplicates(df).collect())) == want
+    assert chosen_paths.near_duplicates(df.filter("1 = 0")).count() == 0
+
+
+def test_chosen_paths_query_equals_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{BASE}/documents.parquet").select("doc_id", "text").collect()]
+    want, links = linked_by_hand(rows)
+    got = QUERIES["op11_chosen_paths"](spark, BASE).collect()
+    assert links and Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_simhash_components_join_different_fingerprints(spark):
+    """A few changed words in long texts leave fingerprints within three bits, which texts of random words don't reach."""
+    rng = random.Random(2)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+        texts += [varied(rng, base, 1) for _ in range(5)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash_anchors.near_duplicates(df).collect()}
+    parent = {d: d for d in got}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    different = 0
+    for a in got:
+        for b in range(a):
+            if (got[a][0] ^ got[b][0]).bit_count() <= 3:
+                different += got[a][0] != got[b][0]
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert different and {d: c for d, (_, c) in got.items()} == {d: root(d) for d in got}
