@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from dripline.functions import arrays as A
 from dripline.operators import shape
 from dripline.operators.quality import MAX_UNKNOWN
+from dripline.session import cut
 
 # Layer sizes, learning rate, epochs and threshold steps.
 LAYERS = [48, 24, 12, 24, 48]
@@ -88,46 +91,54 @@ def _flatten(weights: Weights) -> np.ndarray:
     return np.concatenate([w.ravel() for w in weights])
 
 
+def packed_blocks(shapes: DataFrame) -> DataFrame:
+    """(pattern, n, block): the vectors of a pattern in one partition as one array of numbers, once for all epochs."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for p, part in pdf.groupby("pattern", sort=False):
+                x = np.stack(part["vec"].to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([len(x)]), pa.array([x.tobytes()])], ["pattern", "n", "block"])
+
+    return shapes.select("pattern", "vec").mapInArrow(pack, "pattern string, n long, block binary")
+
+
 def train(shapes: DataFrame, epochs: int = EPOCHS, seed: int = 42, rate: float = LEARNING_RATE) -> dict[str, Weights]:
     """One autoencoder per pattern, full-batch Adam on the mean squared error.
 
-    The full-batch gradient is a sum over rows. Each task adds up the gradients of its rows for all patterns at once,
-    the cluster adds the tasks' sums, and the driver receives one gradient per pattern and epoch. ``shapes`` should be
-    materialised, since each epoch reads it once.
+    Shapes are packed once into blocks that stay on their executors (and are packed again from the checkpoint if one is
+    lost). An epoch is one small job: a task adds up the gradients of its blocks, a tree adds the tasks' sums, nothing
+    is shuffled by key, and the driver receives one gradient per named pattern.
     """
     spark = shapes.sparkSession
-    rows = shapes.select("pattern", "vec")
-    n = {r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    blocks = cut(packed_blocks(shapes))
+    n = {r["pattern"]: r["n"] for r in blocks.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    held = blocks.rdd.map(lambda r: (r["pattern"], np.frombuffer(r["block"]).reshape(-1, LAYERS[0]))).persist(StorageLevel.MEMORY_AND_DISK)
     models = {p: _flatten(initial_weights(seed)) for p in sorted(n)}
     first = {p: np.zeros_like(w) for p, w in models.items()}
     second = {p: np.zeros_like(w) for p, w in models.items()}
-    for epoch in range(1, epochs + 1):
+
+    def merged(a: dict, b: dict) -> dict:
+        return {p: a.get(p, 0.0) + b.get(p, 0.0) for p in a.keys() | b.keys()}
+
+    for epoch in range(1, epochs + 1) if n else ():
         shared = spark.sparkContext.broadcast(models)
 
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[str, np.ndarray] = {}
-            for pdf in batches:
-                for p, part in pdf.groupby("pattern", sort=False):
-                    g = _flatten(gradient_sum(_unflatten(shared.value[p]), np.stack(part["vec"].to_numpy())))
-                    sums[p] = sums.get(p, 0.0) + g
-            if sums:
-                yield pd.DataFrame({"pattern": list(sums), "g": list(sums.values())})
-
-        partial = rows.mapInPandas(add, "pattern string, g array<double>")
-        total = partial.select("pattern", F.posexplode("g").alias("i", "v")).groupBy("pattern", "i").agg(
-            F.sum("v").alias("v")
-        )
-        grads = {p: np.zeros_like(w) for p, w in models.items()}
-        got = total.toPandas()  # one number per weight and pattern
-        for p, part in got.groupby("pattern"):
-            grads[p][part["i"].to_numpy()] = part["v"].to_numpy() / (n[p] * LAYERS[-1])
+        def add(sums: dict, block: tuple) -> dict:
+            p, x = block
+            return merged(sums, {p: _flatten(gradient_sum(_unflatten(shared.value[p]), x))})
+
+        total = held.treeAggregate({}, add, merged)
         shared.unpersist()
         step = rate * math.sqrt(1 - 0.999**epoch) / (1 - 0.9**epoch)
         damp = 1e-8 * math.sqrt(1 - 0.999**epoch)
         for p in models:
-            first[p] = 0.9 * first[p] + 0.1 * grads[p]
-            second[p] = 0.999 * second[p] + 0.001 * grads[p] ** 2
+            grad = total[p] / (n[p] * LAYERS[-1])
+            first[p] = 0.9 * first[p] + 0.1 * grad
+            second[p] = 0.999 * second[p] + 0.001 * grad**2
             models[p] = models[p] - step * first[p] / (np.sqrt(second[p]) + damp)
+    held.unpersist()
     return {p: _unflatten(w) for p, w in models.items()}
 
 

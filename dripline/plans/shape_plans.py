@@ -296,7 +296,7 @@ def threshold_grid(spark, base):
 @query("autoencoder_classes")
 def autoencoder_classes(spark, base):
     shapes = cut(I.shapes(spark, base))
-    models = classify.train(shapes, epochs=30)
+    models = classify.train(shapes)
     errors = cut(classify.reconstruction_errors(shapes, models))
     limits, _ = classify.choose_thresholds(errors)
     return classify.predict(errors, limits)
@@ -307,8 +307,8 @@ def new_pattern_onboarding(spark, base):
     """Models of three patterns first; the fourth is added later and all shapes are classified again."""
     shapes = cut(I.shapes(spark, base))
     known = shapes.filter("pattern <> 'D'")
-    models = classify.train(known, epochs=15)
-    models, limits = classify.onboard(shapes, models, "D", epochs=15)
+    models = classify.train(known)
+    models, limits = classify.onboard(shapes, models, "D")
     errors = cut(classify.reconstruction_errors(shapes, models))
     return classify.pattern_accuracy(classify.predict(errors, limits))
 
@@ -325,7 +325,7 @@ def unknown_regrouped(spark, base):
 def residual_groups(spark, base):
     """Outliers clustered again, round by round, until few persons are left or the clusters are poor."""
     vectors = shape.distinct_vectors(shape.normalised(_days(spark, base)))
-    return shape.residual_rounds(vectors, rounds=2).select("pattern", "round", "row_key", "weight", "label")
+    return shape.residual_rounds(vectors).select("pattern", "round", "row_key", "weight", "label")
 
 
 @query(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dripline.operators import classify, evaluate, regress, voice
+from dripline.operators import classify, evaluate, personal, regress, voice
 from dripline.session import scratch_path
 from dripline.streaming import slots as streaming
 
@@ -50,6 +50,22 @@ def test_training_does_not_depend_on_partitions_and_separates_patterns(spark):
     assert all(r["accuracy"] + r["unknown"] == pytest.approx(1.0) and r["accuracy"] > 0.6 for r in acc.values())
 
 
+def test_training_equals_numpy_over_all_epochs(spark):
+    df = shapes(spark, 15)
+    got = classify.train(df.repartition(3))
+    for p in "AB":
+        x = np.array([r["vec"] for r in df.filter(F.col("pattern") == p).collect()])
+        w = classify.initial_weights(42)
+        m, v = [[np.zeros_like(a) for a in w] for _ in range(2)]
+        for t in range(1, classify.EPOCHS + 1):
+            for k, g in enumerate(classify.gradient_sum(w, x)):
+                g = g / x.size
+                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+                w[k] = w[k] - 1e-3 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        loss = lambda weights: ((classify._forward(weights, x)[-1] - x) ** 2).mean()
+        assert loss(got[p]) == pytest.approx(loss(w), abs=1e-8)
+
+
 def test_thresholds_fall_back_to_the_first_step(spark):
     rows = [("A", i, "A", float(i % 10 == 0)) for i in range(20)] + [("B", i, "A", 9.0) for i in range(20)]
     errors = spark.createDataFrame(rows, "pattern string, person_id long, model string, mse double")
@@ -58,26 +74,69 @@ def test_thresholds_fall_back_to_the_first_step(spark):
     assert limits.first()["threshold"] == pytest.approx(0.1 + 1.5 * 0.3)
 
 
+def boosted(x, y, p, rows=200):
+    bins = np.stack([np.searchsorted(np.quantile(x[:rows, j], np.arange(1, 32) / 32), x[:, j]) for j in range(x.shape[1])], axis=1)
+    who, train = np.zeros(len(y), dtype=int), np.arange(len(y)) < rows
+    arrays = {k: np.array([p[k]]) for k in ("depth", "trees", "rate", "lam")} | {k: p[k] for k in ("alpha", "subsample")}
+    return bins, *personal.boost(bins, y, who, train, arrays, np.array([y[:rows].mean()]), 0)
+
+
 def test_boosting_learns_and_adjusts():
     rng = np.random.default_rng(1)
     x = rng.random((300, 4))
     y = np.where(x[:, 0] > 0.5, 10.0, 1.0) + x[:, 1]
-    p = {**regress.PERSONAL, "trees": 60}
-    pred = regress._boost(x[:200], y[:200], x[200:], p, 0)
-    assert 1 - ((y[200:] - pred) ** 2).sum() / ((y[200:] - y[200:].mean()) ** 2).sum() > 0.9
-    low = regress.adjusted(p, 0.1, 10.0)
+    p = {**personal.PERSONAL, "trees": 60}
+    bins, pred, nodes = boosted(x, y, p)
+    assert 1 - ((y[200:] - pred[200:]) ** 2).sum() / ((y[200:] - y[200:].mean()) ** 2).sum() > 0.9
+    packed = {c: v.astype(personal._TYPES[c]).tobytes() for c, v in zip(personal._TYPES, nodes[1:])}
+    again = personal.tree_sums({"start": y[:200].mean(), "rate": p["rate"], **packed}, bins)
+    assert again == pytest.approx(pred)
+    low = personal.adjusted(p, 0.1, 10.0)
     assert (low["depth"], low["trees"]) == (6, 72)
     assert low["rate"] == pytest.approx(0.1 / 1.5) and low["lam"] == pytest.approx(1.2)
-    assert regress.adjusted(p, 0.9, 90.0) == p
-
-
-def test_one_tree_finds_the_best_split():
-    bins = np.array([[0], [0], [1], [1], [2], [2]])
-    grad = np.array([1.0, 1.0, 1.0, 1.0, -5.0, -5.0])
-    p = {"depth": 1, "alpha": 0.0, "lam": 0.0}
-    feature, cut, value = regress._grow(bins, grad, np.ones(6, bool), p)
-    assert feature[0] == 0 and cut[0] == 1
-    assert value[1] == pytest.approx(-1.0) and value[2] == pytest.approx(5.0)
+    assert personal.adjusted(p, 0.9, 90.0) == p
+
+
+def gains_by_hand(bins, grad, alpha, lam):
+    """Gain of every cut of one node."""
+    soft = lambda g: np.sign(g) * max(abs(g) - alpha, 0.0)
+    score = lambda g, n: soft(g) ** 2 / (n + lam)
+    out = {}
+    for f in range(bins.shape[1]):
+        for c in np.unique(bins[:, f])[:-1]:
+            left = bins[:, f] <= c
+            out[f, c] = score(grad[left].sum(), left.sum()) + score(grad[~left].sum(), (~left).sum()) - score(grad.sum(), len(grad))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_splits_of_many_nodes_equal_trying_every_cut(seed):
+    rng = np.random.default_rng(seed)
+    bins, grad = rng.integers(0, 6, (80, 3)), rng.normal(size=80)
+    node = rng.integers(-1, 7, 80)
+    lam = rng.random(8)
+    orders = np.argsort(bins, axis=0, kind="stable").T
+    feature, cut, total, count = personal.best_splits(orders, bins, grad, node, 8, 0.1, lam)
+    for k in range(8):
+        rows = node == k
+        gains = gains_by_hand(bins[rows], grad[rows], 0.1, lam[k])
+        best = max(gains.values(), default=0.0)
+        assert count[k] == rows.sum() and total[k] == pytest.approx(grad[rows].sum())
+        assert gains[feature[k], cut[k]] == pytest.approx(best) if best > 1e-9 else feature[k] == -1
+
+
+def test_stacked_persons_equal_persons_alone():
+    rng = np.random.default_rng(4)
+    x, who = rng.integers(0, 20, (120, 3)), np.repeat(np.arange(3), 40)
+    y, train = rng.random(120) * 10, np.tile(np.arange(40) < 30, 3)
+    p = {"depth": np.array([2, 3, 5]), "trees": np.array([5, 9, 3]), "rate": np.array([0.3, 0.1, 0.2]), "lam": np.array([1.0, 2.0, 0.5])}
+    fixed = {"alpha": 0.1, "subsample": 1.0}
+    start = np.array([y[(who == k) & train].mean() for k in range(3)])
+    pred, nodes = personal.boost(x, y, who, train, {**p, **fixed}, start, 0)
+    for k in range(3):
+        m = who == k
+        alone, own = personal.boost(x[m], y[m], np.zeros(40, dtype=int), train[m], {**{c: v[k : k + 1] for c, v in p.items()}, **fixed}, start[k : k + 1], 0)
+        assert pred[m] == pytest.approx(alone) and (nodes[0] == k).sum() == len(own[0])
 
 
 def personal_rows(spark, days, per_day):
@@ -95,12 +154,12 @@ def personal_rows(spark, days, per_day):
 
 def test_personal_models_score_validation_and_holdout(spark):
     df = evaluate.split_by_date(personal_rows(spark, 30, 8))
-    got = regress.personal_predictions(df, ["f1", "f2"], trees=60).collect()
+    got = personal.personal_predictions(df, ["f1", "f2"], trees=60).collect()
     assert {r["split"] for r in got} == {"valid", "holdout"}
     assert len(got) == 9 * 8
     assert all(abs(r["personal"] - r["actual"]) < 10 for r in got)
     few = evaluate.split_by_date(personal_rows(spark, 5, 1))
-    got = regress.personal_predictions(few, ["f1", "f2"], trees=5).collect()
+    got = personal.personal_predictions(few, ["f1", "f2"], trees=5).collect()
     assert sorted(r["split"] for r in got) == ["holdout", "valid"]
     assert all((r["personal"], r["tries"], r["status"]) == (120.0, 0, "skipped") for r in got)
 
