@@ -3,12 +3,13 @@
 Each distinct shingle set has a sketch of minwise tokens. A tree sends a document down the tokens it selects: the root
 of each tree selects one position of the sketch, deeper nodes select positions at random, and documents with the same
 token at a selected position meet in a child. Two documents stay together with a chance that grows with their
-similarity; independent trees repeat the draw. A node of few documents is compared exhaustively. A node of many first
-links its members to its pivot; if few are left unlinked they are compared with all others, else the node branches.
+similarity; independent trees repeat the draw.
 
-Pairs are compared by sketch, pairs that may be similar by their full sets. No pair list leaves a node: first every
-document names its smallest possible partner, then only documents of different components are confirmed, group by
-group, until no pair between components is open.
+Pairs are compared by sketch, pairs that may be similar by their full sets, and no pair list leaves a node. First every
+document names its smallest possible partner; nodes of many documents do this stretch by stretch, with their pivot in
+every stretch. After these links only documents of different components matter. A node of few documents is compared
+exhaustively. In a node of many, the members outside its largest component are compared with all others if they are
+few, else the node branches. What may be similar across components is confirmed group by group.
 
 With ``TREES`` root positions a pair of similarity 0.8 misses every root with a chance of 0.2 ** 12, and its sketches
 agree in fewer than ``AGREE`` of 64 positions with a chance of about 2e-6.
@@ -194,7 +195,7 @@ def _in_leaves(leaves: DataFrame, nodes: DataFrame, labels: DataFrame | None, fn
     return map_batches(full.repartition(tasks, "path").sortWithinPartitions("path", "key"), run, schema)
 
 
-def _stars(leaves: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int, agree: int) -> DataFrame:
+def _stars(leaves: DataFrame, nodes: DataFrame, percent: int, agree: int) -> DataFrame:
     """(a, b): each document that may be similar to others, with the smallest of them; the smaller comes first."""
 
     def run(keys, n, tokens, label):
@@ -203,7 +204,7 @@ def _stars(leaves: DataFrame, nodes: DataFrame, labels: DataFrame | None, percen
         first = maybe[use].argmax(axis=1)
         return keys[np.minimum(first, use)], keys[np.maximum(first, use)]
 
-    return _in_leaves(leaves, nodes, labels, run, "a long, b long").distinct()
+    return _in_leaves(leaves, nodes, None, run, "a long, b long").distinct()
 
 
 def _groups(leaves: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, agree: int) -> DataFrame:
@@ -321,20 +322,13 @@ def _labels(links: DataFrame) -> DataFrame:
     return components(links, []).select(F.col("node").alias("key"), F.col("root").alias("label"))
 
 
-def _pivots(big: DataFrame, nodes: DataFrame, percent: int, agree: int) -> DataFrame:
-    """(a, b): members of large nodes that may be similar to the first member."""
-    firsts = big.groupBy("path").agg(F.min("key").alias("key"))
-    firsts = small_side(firsts.join(nodes, "key").select("path", F.col("key").alias("a"), F.col("n").alias("pn"), F.col("sketch").alias("ps")))
-    rows = big.join(firsts, "path").filter("key <> a").join(nodes.select("key", "n", "sketch"), "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, key, pn, n = (batch.column(c).to_numpy() for c in range(4))
-            alike = np.count_nonzero(_tokens(batch.column(4)) == _tokens(batch.column(5)), axis=1) >= agree
-            use = alike & (percent * np.maximum(pn, n) <= 100 * np.minimum(pn, n))
-            yield pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(key[use])], ["a", "b"])
-
-    return map_batches(rows.select("a", "key", "pn", "n", "ps", "sketch"), run, "a long, b long").distinct()
+def _stretches(big: DataFrame) -> DataFrame:
+    """(path, key): large nodes cut into stretches by a hash, with the first member of the node in every stretch."""
+    parts = F.ceil(F.col("size") / LEAF).cast("int")
+    rows = big.select("path", "key", F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"))
+    firsts = big.groupBy("path").agg(F.min("key").alias("key"), F.max(parts).alias("parts"))
+    firsts = firsts.select("path", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return rows.unionByName(firsts).select(F.xxhash64("path", "part").alias("path"), "key").distinct()
 
 
 def _split(big: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
@@ -371,37 +365,34 @@ def near_duplicates(
     such rows only has a null id. Long texts are read whole; an empty table gives an empty result.
     """
     agree = AGREE * percent // PERCENT
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        return _sets(docs, nodes, keys, shingle, text_col, id_col)
+
     marked = written(_marked(docs, shingle, text_col, id_col), "sketches")
     nodes = marked.filter("sig is not null").groupBy("sig").agg(F.min("doc").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.withColumn("key", F.monotonically_increasing_id()), "sets")
-    links, leaves = [], []
-    rows = _roots(nodes)
-    for depth in range(DEPTH):
-        live = _sized(rows)
-        leaves.append(live.filter(F.col("size") <= LEAF).select("path", "key"))
-        big = live.filter(F.col("size") > LEAF)
-        if big.isEmpty():
-            break
-        stars = written(_pivots(big, nodes, percent, agree), "pivots")
-        keys = stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct()
-        links.append(written(_confirmed(stars, _sets(docs, nodes, keys, shingle, text_col, id_col), percent), "links"))
-        met, rows = _split(big, _labels(_all(links)), depth == DEPTH - 1)
+    live = _sized(_roots(nodes))
+    small, big = live.filter(F.col("size") <= LEAF).select("path", "key"), live.filter(F.col("size") > LEAF)
+    crowded = not big.isEmpty()
+    stars = written(_stars(small.unionByName(_stretches(big)) if crowded else small, nodes, percent, agree), "stars")
+    sets = sets_of(stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct())
+    links = written(_confirmed(stars, sets, percent), "links")
+    known = written(_labels(links), "known")
+    leaves = [small]
+    for depth in range(DEPTH if crowded else 0):
+        met, rows = _split(big, known, depth == DEPTH - 1)
         leaves.append(met)
         if depth == DEPTH - 1 or rows.isEmpty():
             break
-        rows = _children(rows, nodes)
-    leaves = written(_all(leaves), "leaves")
-    known = written(_labels(_all(links)), "known") if links else None
-    stars = written(_stars(leaves, nodes, known, percent, agree), "stars")
-    keys = stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct()
-    sets = _sets(docs, nodes, keys, shingle, text_col, id_col)
-    links.append(written(_confirmed(stars, sets, percent), "links"))
-    known = written(_labels(_all(links)), "known")
-    # Only documents that may be similar to another one can be in a group, and each of them is in a star.
-    groups = written(_groups(leaves, nodes, known, percent, agree), "groups")
+        live = _sized(_children(rows, nodes))
+        leaves.append(live.filter(F.col("size") <= LEAF).select("path", "key"))
+        big = live.filter(F.col("size") > LEAF)
+    groups = written(_groups(_all(leaves), nodes, known, percent, agree), "groups")
     if not groups.isEmpty():
-        links.append(written(_settled(groups, known, sets, percent), "links"))
-        known = _labels(_all(links))
+        if crowded:  # else every member of a group is in a star already
+            sets = sets.unionByName(sets_of(groups.select("key").distinct().join(sets, "key", "left_anti")))
+        known = _labels(links.unionByName(written(_settled(groups, known, sets, percent), "links")))
     linked = nodes.join(known, "key").select("sig", "first", "label")
     named = linked.groupBy("label").agg(F.min("first").alias("component"))
     linked = linked.join(named, "label").select("sig", "component")
