@@ -113,14 +113,16 @@ def _as(cut: DataFrame, name: str) -> DataFrame:
 
 def _cuts(ranked: DataFrame, plan: DataFrame) -> DataFrame:
     """Per source: the first cut, a second one among later documents that fit into what the first leaves open, and
-    the one further document (by rank) whose size comes nearest to what is still missing, if it helps."""
+    the one further rank whose words come nearest to what is still missing, if it helps."""
     first = _as(_cut(ranked, plan.withColumnRenamed("rest", "need")), "first")
     fitting = ranked.join(small_side(first), "source_key").filter(~_under("first") & (F.col("size") <= F.col("first.missing")))
     second = _as(_cut(fitting, first.select("source_key", F.col("first.missing").alias("need"))), "second")
     cuts = small_side(first.join(second, "source_key", "left"))
     open_words = F.coalesce("second.missing", "first.missing")
     others = ranked.join(cuts, "source_key").filter(~_taken() & (F.col("size") > 0))
-    near = others.groupBy("source_key").agg(F.min(F.struct(F.abs(open_words - F.col("size")).alias("off"), "v")).alias("x"))
+    # Documents of one rank are taken together, so they are weighed together.
+    ties = others.groupBy("source_key", "v", open_words.alias("open")).agg(F.sum("size").alias("words"))
+    near = ties.groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("open") - F.col("words")).alias("off"), "v")).alias("x"))
     better = F.col("x.off") < open_words
     out = cuts.join(near, "source_key", "left")
     return small_side(out.select("source_key", "first", "second", F.when(better, F.col("x.v")).alias("extra")))
@@ -142,7 +144,8 @@ def mix(
     """(row, size, source_size, target, copies) of every row: how often the mix takes it.
 
     Null texts have size 0. Null is a source of its own, the last. Rows equal in id and text are drawn together.
-    Sources without words have target 0 and are not taken. Tables without words or rows give no copies.
+    Sources without words have target 0 and are not taken. Tables without words or rows give no copies. A text of any
+    length counts whole; a source of few documents comes as near to its target as whole documents allow.
     """
     spread = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),

@@ -202,6 +202,20 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return _links(tiled, max_bits, ["anchor", "tile"], tasks)
 
 
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """((doc, fp) of every row, (fp, root, component_id) of every fingerprint)."""
+    marked = fingerprints(docs, shingle, text_col, [id_col])
+    fps = written(marked.select(F.col(f"row.`{id_col}`").alias("doc"), "fp"), "fingerprints")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc").alias("first")), "nodes")
+    roots = components(near_links(nodes.select("fp"), max_bits), [])
+    linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "first", "root")
+    named = linked.groupBy("root").agg(F.min("first").alias("component"))
+    linked = linked.join(named, "root").select("fp", "root", "component")
+    labels = nodes.join(linked, "fp", "left")
+    labels = labels.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "first").alias("component_id"))
+    return fps, written(labels, "labels")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
@@ -211,31 +225,34 @@ def near_duplicates(
     fingerprints are one node, however many rows share it; rows with a null id link but never name a component (a
     component of such rows only has a null id). Long texts are read whole; an empty table gives an empty result.
     """
-    marked = fingerprints(docs, shingle, text_col, [id_col])
-    fps = written(marked.select(F.col(f"row.`{id_col}`").alias("doc"), "fp"), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc").alias("first")), "nodes")
-    roots = components(near_links(nodes.select("fp"), max_bits), [])
-    linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "first", "root")
-    named = linked.groupBy("root").agg(F.min("first").alias("component"))
-    linked = linked.join(named, "root").select("fp", "component")
-    labels = written(
-        nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")), "labels"
-    )
-    return fps.join(labels, "fp").select(F.col("doc").alias(id_col), "fp", "component_id")
+    fps, labels = _grouped(docs, shingle, max_bits, text_col, id_col)
+    return fps.join(labels.drop("root"), "fp").select(F.col("doc").alias(id_col), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents that name their component, with the columns of ``docs``; of rows with one id one stays.
+    """One row of each component, with the columns of ``docs``: that of the smallest id, null ids last.
 
-    Rows without an id can't be told apart by it; they stay as they are.
+    Rows whose id is theirs alone are decided by it: only the ids that go are joined with the texts. Rows that share an
+    id, or have none, are decided by id and fingerprint, and one of the rows equal in both stays.
     """
-    groups = near_duplicates(docs, text_col=text_col, id_col=id_col)
-    heads = groups.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_copies"))
-    heads = written(heads, "heads")
-    key = F.col(id_col)
-    kept = docs.join(heads.filter("_copies = 1").select(id_col), id_col, "left_semi")
-    again = docs.join(heads.filter("_copies > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(again).unionByName(docs.filter(key.isNull()))
+    fps, labels = _grouped(docs, SHINGLE, MAX_BITS, text_col, id_col)
+    pairs = fps.groupBy("doc", "fp").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "fp")
+    heads = pairs.join(labels.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("h"))
+    heads = written(heads.select(F.col("h.doc").alias("doc"), F.col("h.fp").alias("fp")), "heads")
+    counts = pairs.groupBy("doc").agg(F.sum("n").alias("rows"))
+    shared = written(counts.filter("rows > 1 or doc is null").select("doc"), "shared-ids")
+    gone = counts.filter("rows = 1 and doc is not null").select("doc").join(heads, "doc", "left_anti")
+    away = small_side(gone.unionByName(shared).filter("doc is not null").withColumnRenamed("doc", id_col))
+    kept = docs.filter(F.col(f"`{id_col}`").isNotNull()).join(away, id_col, "left_anti").select(docs.columns)
+    if shared.isEmpty():
+        return kept
+    ids = small_side(shared)
+    unsure = docs.join(ids, F.col(f"`{id_col}`").eqNullSafe(ids["doc"]), "left_semi")
+    marked = fingerprints(unsure, SHINGLE, text_col).withColumn("doc", F.col(f"row.`{id_col}`"))
+    chosen = heads.select(F.col("doc").alias("d"), F.col("fp").alias("f"))
+    chosen = marked.join(chosen, F.col("doc").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))).dropDuplicates(["doc", "fp"])
+    return kept.unionByName(chosen.select("row.*"))
 
 
 def fingerprint_text(column: str = "fp"):

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from dripline.llm import chosen_paths, conversation_repair, simhash_anchors, term_pipeline
+from dripline.llm import chosen_paths, conversation_repair, pareto_mix, simhash_anchors, term_pipeline
 from dripline.llm.queries import QUERIES
 
 BASE = "/root/testdata/sf0.001"
@@ -295,3 +295,26 @@ def test_simhash_components_join_different_fingerprints(spark):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     assert different and {d: c for d, (_, c) in got.items()} == {d: root(d) for d in got}
+
+
+def test_one_row_of_each_component_stays(spark):
+    """One id on two texts, copies with and without an id, and repeated rows."""
+    rng = random.Random(4)
+    fresh = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    a, b, c, d, e = (fresh() for _ in range(5))
+    rows = [(1, a), (1, b), (2, a), (3, c), (3, c), (3, c), (4, d), (5, d), (6, fresh()), (7, ""), (8, None)]
+    rows += [(None, e)] * 1000 + [(None, c), (None, fresh())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x")).withColumn("doc", F.lit(1))
+    kept = simhash_anchors.one_of_each(df)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    want = Counter([(1, a), (1, b), (3, c), (4, d), rows[8], (7, ""), (None, e), (None, rows[-1][1])])
+    assert kept.columns == df.columns and got == want
+
+
+def test_equal_rows_are_weighed_together(spark):
+    equal = [(1, "ten words are in this one text of ten exactly", "a")] * 50 + [(2, "w " * 48, "b")]
+    df = spark.createDataFrame(equal, "doc_id long, text string, source string")
+    got = {r.source: r for r in pareto_mix.mix(df).groupBy("row.source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("size")).collect()}
+    for r in got.values():
+        # All equal rows or none: no other choice comes nearer to the target.
+        assert abs(r.taken - r.target) <= min(abs(k * r.size - r.target) for k in range(4)) + 1e-6
