@@ -16,3 +16,11 @@ def slot_stream(spark, base):
     run = slots.write_updates(slots.slot_stream(events), out, scratch_path(spark, "progress"))
     run.awaitTermination()
     return slots.current_slots(spark, out).withColumn("amount", F.col("amount").cast("double"))
+
+
+@query("slot_stream_with_late", with_ctes("SELECT pattern, person_id, date, slot, CAST(amount AS DOUBLE) AS amount FROM slots", "slots"))
+def slot_stream_with_late(spark, base):
+    """Slot sums of the stream, late events added."""
+    out = scratch_path(spark, "slots")
+    slots.write_slots(slots.event_stream(spark, base, "events.parquet"), out, scratch_path(spark, "progress")).awaitTermination()
+    return slots.merged_slots(spark, out).withColumn("amount", F.col("amount").cast("double"))

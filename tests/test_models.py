@@ -235,6 +235,28 @@ def test_stream_of_several_files_equals_the_batch(spark, tmp_path):
     assert got == want and run.lastProgress["batchId"] > 0
 
 
+def test_shuffled_files_keep_late_events_at_the_default(spark, tmp_path):
+    from dripline.operators.grid import slot_sums
+    from dripline.sources.tables import usage_events
+
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    src = tmp_path / "in"
+    ev.orderBy(F.xxhash64("event_id")).coalesce(1).write.option("maxRecordsPerFile", 200).parquet(str(src))
+    out, progress = scratch_path(spark, "out"), scratch_path(spark, "cp")
+    run = streaming.write_slots(streaming.event_stream(spark, str(src), files_per_batch=1), out, progress)
+    run.awaitTermination()
+    assert run.lastProgress["batchId"] >= 4
+    want = {tuple(r) for r in slot_sums(usage_events(spark, "/root/testdata/sf0.001")).collect()}
+    assert {tuple(r) for r in streaming.merged_slots(spark, out).collect()} == want
+    assert {tuple(r) for r in streaming.merged_slots(spark, out, late=False).collect()} != want
+    assert spark.read.parquet(f"{out}/late").count() > 0
+    # A further file goes on where the checkpoint ends; its events are behind all marks.
+    ev.limit(50).coalesce(1).write.mode("append").parquet(str(src))
+    streaming.write_slots(streaming.event_stream(spark, str(src)), out, progress).awaitTermination()
+    total = lambda df, c: df.agg(F.sum(F.col(c).cast("decimal(18,2)"))).first()[0]
+    assert total(streaming.merged_slots(spark, out), "amount") == total(ev, "value") + total(ev.limit(50), "value")
+
+
 def test_stream_scoring(spark, tmp_path):
     df = shapes(spark)
     src = str(tmp_path / "shapes")
