@@ -249,6 +249,11 @@ def facet_filter(
     return out
 
 
+def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, first): distinct keys in the order of their first row; only distinct keys are sorted, by range."""
+    return df.groupBy(key).agg(F.min(order).alias("first")).orderBy("first")
+
+
 def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None) -> DataFrame:
     """Equal-width bins between minimum and maximum; the maximum falls into the last bin."""
     keys = by or []

@@ -160,15 +160,30 @@ def sample_persons(df: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
     return df.join(picked, ["pattern", "person_id"], "left_semi")
 
 
-def weighted_training_rows(df: DataFrame, person_id: int, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """A person's own rows with weight 1 and ``share`` of the pattern's other rows with weight 0.2."""
-    own = F.col("person_id") == person_id
+def with_draws(df: DataFrame, draws: int = 5, seed: int = 42) -> DataFrame:
+    """Rows with ``draw``: a hash deals the rows of a pattern to equal, disjoint draws."""
     cells = [F.col(c) for c in ("pattern", "person_id", "date", "hour", "minute")]
-    sampled = S.hashed_fraction(*cells, seed=seed) < share
-    pattern = df.filter(own).select("pattern").distinct()
-    return df.join(pattern, "pattern", "left_semi").filter(own | sampled).withColumn(
-        "weight", F.when(own, 1.0).otherwise(0.2)
-    )
+    return df.withColumn("draw", F.floor(S.hashed_fraction(*cells, seed=seed) * draws).cast("int"))
+
+
+def person_draws(df: DataFrame, draws: int = 5, seed: int = 42) -> DataFrame:
+    """(pattern, person_id, draw): which of the draws of its pattern each person learns from."""
+    people = df.select("pattern", "person_id").distinct()
+    return people.withColumn("draw", F.floor(S.hashed_fraction(F.col("pattern"), F.col("person_id"), seed=seed) * draws).cast("int"))
+
+
+def weighted_training_rows(df: DataFrame, draws: int = 5, weight: float = 0.2, seed: int = 42) -> DataFrame:
+    """(learner, row columns, weight) for every person: own rows with weight 1, one draw of the others' with 0.2.
+
+    With five draws a person learns from a fifth of the pattern's other rows. The draws are disjoint and made once, so
+    rows and persons meet in an equi join by draw; rows are multiplied only by the persons that take them.
+    """
+    rows = with_draws(df, draws, seed)
+    takers = person_draws(df, draws, seed).withColumnRenamed("person_id", "learner")
+    others = rows.join(takers, ["pattern", "draw"]).filter("learner <> person_id").withColumn("weight", F.lit(weight))
+    own = rows.withColumn("learner", F.col("person_id")).withColumn("weight", F.lit(1.0))
+    columns = ["learner", *df.columns, "weight"]
+    return own.select(columns).unionByName(others.select(columns))
 
 
 def prediction_sample(df: DataFrame, keys: list[str], n: int = 100, seed: int = 42) -> DataFrame:

@@ -5,6 +5,7 @@ from dripline.plans import (  # noqa: F401
     model_plans,
     score_plans,
     shape_plans,
+    storage_plans,
     stream_plans,
     usage_plans,
     voice_plans,

@@ -167,17 +167,24 @@ def sample_persons(spark, base):
 @query(
     "weighted_training_rows",
     with_ctes(
-        f"""SELECT person_id, date, hour, minute, CAST(CASE WHEN person_id = 5 THEN 1.0 ELSE 0.2 END AS DOUBLE) AS weight FROM (
-            SELECT *, CAST(slot // 2 AS INTEGER) AS hour, CAST((slot % 2) * 30 AS INTEGER) AS minute FROM slots WHERE amount > 0)
-            WHERE pattern = 'B' AND (person_id = 5 OR {hash01('pattern', 'person_id', 'date', 'hour', 'minute')} < 0.2)""",
+        """SELECT learner, person_id, date, hour, minute, 1.0::DOUBLE AS weight FROM (SELECT *, person_id AS learner FROM drawn)
+           UNION ALL SELECT t.learner, d.person_id, d.date, d.hour, d.minute, 0.2::DOUBLE FROM drawn d JOIN takers t
+           ON t.pattern = d.pattern AND t.draw = d.draw AND t.learner <> d.person_id""",
         "slots",
+        extra={
+            "drawn": f"""SELECT *, floor({hash01('pattern', 'person_id', 'date', 'hour', 'minute')} * 5) AS draw FROM (
+                SELECT pattern, person_id, date, CAST(slot // 2 AS INTEGER) AS hour, CAST((slot % 2) * 30 AS INTEGER) AS minute FROM slots WHERE amount > 0)""",
+            "takers": f"""SELECT pattern, person_id AS learner, floor({hash01('pattern', 'person_id')} * 5) AS draw
+                FROM (SELECT DISTINCT pattern, person_id FROM drawn)""",
+        },
     ),
 )
 def weighted_training_rows(spark, base):
+    """Training rows of every person: own ones, and a fifth of the pattern's others at a fifth of the weight."""
     rows = features.nonzero(I.slots(spark, base)).select(
         "pattern", "person_id", "date", S.slot_hour(F.col("slot")).alias("hour"), S.slot_minute(F.col("slot")).alias("minute")
     )
-    return evaluate.weighted_training_rows(rows, 5).drop("pattern")
+    return evaluate.weighted_training_rows(rows).drop("pattern")
 
 
 @query(

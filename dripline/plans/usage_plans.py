@@ -8,6 +8,7 @@ from dripline.functions import arrays as A, scalars as S
 from dripline.operators import eda, evaluate, grid, quality
 from dripline.plans import inputs as I
 from dripline.plans.catalog import hash01, query, with_ctes
+from dripline.session import scratch_path
 from dripline.sources import sinks, tables
 from dripline.sources.tables import table, usage_events
 
@@ -346,8 +347,8 @@ def kpis(spark, base):
 @query(
     "accuracy_by_cluster",
     with_ctes(
-        """SELECT CASE WHEN g = 1 THEN 'mean' ELSE cluster END AS cluster, round(AVG(personal), 6) AS personal, round(AVG(base), 6) AS base
-           FROM (SELECT *, 0 AS g FROM per UNION ALL SELECT *, 1 AS g FROM per) GROUP BY 1""",
+        """SELECT CASE WHEN g = 1 THEN 'mean' ELSE cluster END AS cluster, round(AVG(personal), 6) AS personal, round(AVG(base), 6) AS base,
+           round(AVG((personal + base) / 2), 6) AS average FROM (SELECT *, 0 AS g FROM per UNION ALL SELECT *, 1 AS g FROM per) GROUP BY 1""",
         "preds",
         extra={
             "per": """SELECT pattern AS cluster,
@@ -362,8 +363,8 @@ def accuracy_by_cluster(spark, base):
         evaluate.accuracy(F.col("actual"), F.col("personal")).alias("personal"),
         evaluate.accuracy(F.col("actual"), F.col("base")).alias("base"),
     )
-    out = eda.accuracy_by_cluster(scores, ["personal", "base"])
-    return out.select("cluster", F.round("personal", 6).alias("personal"), F.round("base", 6).alias("base"))
+    out = eda.accuracy_by_cluster(scores.withColumn("average", (F.col("personal") + F.col("base")) / 2), ["personal", "base", "average"])
+    return out.select("cluster", *[F.round(c, 6).alias(c) for c in ("personal", "base", "average")])
 
 
 @query(
@@ -411,9 +412,13 @@ def faceted_filter(spark, base):
     return eda.facet_filter(I.voice_samples(spark, base), "OME_1", accuracy="80-90", gender="Female", age="20-39")
 
 
-@query("family_ids", f"SELECT DISTINCT family_id FROM ({_SAMPLES}) WHERE accuracy >= 90")
+@query(
+    "family_ids",
+    f"SELECT family_id, MIN(id) AS first FROM ({_SAMPLES}) WHERE accuracy >= 90 GROUP BY family_id ORDER BY first",
+)
 def family_ids(spark, base):
-    return eda.facet_filter(I.voice_samples(spark, base), accuracy="90+").select("family_id").distinct()
+    """Homes of the shown samples in the order in which they are first seen."""
+    return eda.first_seen(eda.facet_filter(I.voice_samples(spark, base), accuracy="90+"), "family_id", "id")
 
 
 @query(
@@ -441,11 +446,11 @@ def facet_bands(spark, base):
        WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) > 5""",
 )
 def label_json(spark, base):
-    """Signal level inside a JSON column, with the noise gate (above 5 dB)."""
+    """Signal level inside nested label JSON, with the noise gate (above 5 dB)."""
     ev = table(spark, base, "events")
-    text = F.concat(F.from_json("props", "k string")["k"], F.lit("dB"))
-    snr = F.regexp_replace(text, "dB", "").try_cast("int")
-    return ev.select("event_id", snr.alias("snr")).filter(F.col("snr") > 5)
+    level = F.concat(F.from_json("props", "k string")["k"], F.lit("dB"))
+    nested = F.to_json(F.struct(F.struct(level.alias("SignalToNoiseRatio")).alias("Wav")))
+    return tables.parse_labels(ev.select("event_id", nested.alias("json"))).select("event_id", "snr").filter(F.col("snr") > 5)
 
 
 @query(
@@ -491,8 +496,10 @@ def union_patterns(spark, base):
 def append_merge(spark, base):
     """Overlapping parts merge without duplicates; a column only one side has becomes null."""
     s = I.slots(spark, base)
-    existing = s.filter("date <= '2024-01-20'").withColumn("extra", F.lit(None).cast("string"))
-    return sinks.merge_rows(existing, s.filter("date >= '2024-01-10'")).withColumn("amount", F.col("amount").cast("double"))
+    root = scratch_path(spark, "merged")
+    sinks.append_merge(spark, root, s.filter("date <= '2024-01-20'").withColumn("extra", F.lit(None).cast("string")), ["person_id"])
+    sinks.append_merge(spark, root, s.filter("date >= '2024-01-10'"), ["person_id"])
+    return sinks.read_snapshot(spark, root).withColumn("amount", F.col("amount").cast("double"))
 
 
 @query("pattern_table", with_ctes("SELECT DISTINCT pattern, person_id, date FROM slots", "slots"))

@@ -29,15 +29,34 @@ def test_pattern_sink_drops_duplicates_and_sorts(spark, tmp_path, rows):
     assert [r["person_id"] for r in spark.read.parquet(f"{path}/pattern=A").coalesce(1).collect()] == [1, 2]
 
 
-def test_append_merge(spark, tmp_path, rows):
-    path = str(tmp_path / "merged")
-    rows.write.parquet(path)
-    extra = spark.createDataFrame([("A", 2, dt.date(2024, 1, 1), 1.0), ("C", 0, dt.date(2024, 1, 3), 4.0)], rows.schema)
-    sinks.append_merge(spark, path, extra, ["person_id"])
-    got = sorted(r["person_id"] for r in spark.read.parquet(path).collect())
-    assert got == [0, 1, 2, 3]
-    wider = rows.limit(0).withColumn("note", F.lit("n"))
-    assert "note" in sinks.merge_rows(rows, wider).columns
+def test_append_merge_touches_only_the_days_it_gets(spark, tmp_path, rows):
+    root = str(tmp_path / "merged")
+    assert sinks.read_snapshot(spark, root) is None
+    assert sinks.append_merge(spark, root, rows.unionByName(rows), ["person_id"]) == 1
+    files = lambda: {r[0] for r in sinks.read_snapshot(spark, root, days=[dt.date(2024, 1, 2)]).select(F.col("_metadata.file_path")).collect()}
+    before = files()
+    extra = spark.createDataFrame(
+        [("A", 2, dt.date(2024, 1, 1), 1.0, "n"), ("C", 0, dt.date(2024, 1, 3), 4.0, None), ("D", 9, None, 5.0, None)],
+        "pattern string, person_id long, date date, x double, note string",
+    )
+    assert sinks.append_merge(spark, root, extra, ["person_id"]) == 2
+    got = sorted((r["person_id"], r["x"], r["note"] or "") for r in sinks.read_snapshot(spark, root).collect())
+    # A row that is equal but for the new column is another row.
+    assert got == [(0, 4.0, ""), (1, 2.0, ""), (2, 1.0, ""), (2, 1.0, "n"), (3, 3.0, ""), (9, 5.0, "")]
+    assert files() == before and sinks.read_snapshot(spark, root, 1).count() == 3
+    assert "note" in sinks.merge_rows(rows, extra).columns
+
+
+def test_a_broken_merge_leaves_the_old_snapshot(spark, tmp_path, rows):
+    root = str(tmp_path / "merged")
+    sinks.append_merge(spark, root, rows, ["person_id"])
+    broken = rows.withColumn("x", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.append_merge(spark, root, broken, ["person_id"])
+    assert sinks.read_snapshot(spark, root).count() == 3
+    sinks.append_merge(spark, root, rows.withColumn("x", F.lit(7.0)), ["person_id"])
+    assert sinks.read_snapshot(spark, root).count() == 6
+
 
 
 def test_registry_keeps_the_newest_entry(spark, tmp_path):
