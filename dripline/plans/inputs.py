@@ -79,9 +79,10 @@ def voice_samples(spark: SparkSession, base: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, base: str) -> DataFrame:
-    """Recordings: the label is the speaker, every embedding one frame of 14 coefficients.
+    """Recordings: the label is the speaker, every embedding one frame.
 
-    A recording holds the frames whose ids share their tens.
+    A frame of the data model has 14 coefficients; the first 14 of the 64 values stand for them. A recording holds the
+    frames whose ids share their hundreds.
     """
     e = table(spark, base, "embeddings")
     return e.select(

@@ -103,26 +103,25 @@ def candidate_order(spark, base):
     return voice.ranked_candidates(_similarities(spark, base), ["vec_id"])
 
 
-def _flat(spark, base):
-    cols = [f"c{i}" for i in range(1, voice.COEFFICIENTS + 1)]
-    f = I.frames(spark, base).select("vec_id", *[F.col("frame")[i].alias(c) for i, c in enumerate(cols)])
-    return cut(f), cols
+def _vectors(spark, base):
+    """One vector of 28 values per recording of a speaker: means and deviations of the 14 coefficients."""
+    frames = I.frames(spark, base)
+    per = voice.frame_statistics(frames, ["user_id", "recording"])
+    return cut(per.fillna(0.0, _COLS))
 
 
 @query("gmm_clusters")
 def gmm_clusters(spark, base):
-    flat, cols = _flat(spark, base)
-    return voice.mixture_clusters(voice.standardised(flat, cols)).select("vec_id", "cluster")
+    return voice.mixture_clusters(voice.standardised(_vectors(spark, base), _COLS)).select("user_id", "recording", "cluster")
 
 
 @query("kmeans_clusters")
 def kmeans_clusters(spark, base):
-    flat, cols = _flat(spark, base)
-    return voice.kmeans_clusters(voice.standardised(flat, cols)).select("vec_id", "cluster")
+    return voice.kmeans_clusters(voice.standardised(_vectors(spark, base), _COLS)).select("user_id", "recording", "cluster")
 
 
 @query("mahalanobis_top1")
 def mahalanobis_top1(spark, base):
-    flat, cols = _flat(spark, base)
-    clusters = voice.mixture_clusters(voice.standardised(flat, cols), k=10)
-    return voice.drop_farthest(voice.mahalanobis(cut(clusters.drop("features")), cols)).select("vec_id", "cluster", "distance", "outlier")
+    clusters = voice.mixture_clusters(voice.standardised(_vectors(spark, base), _COLS), k=10)
+    scored = voice.mahalanobis(cut(clusters.drop("features")), _COLS)
+    return voice.drop_farthest(scored).select("user_id", "recording", "cluster", "distance", "outlier")
