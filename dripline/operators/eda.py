@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from dripline.operators import scan
+
 # Display order of the dispense sizes in ml.
 CAPACITIES = [120, 140, 260, 500, 1000]
 
@@ -88,47 +90,29 @@ def person_type_pivot(events: DataFrame, kinds: list[str]) -> DataFrame:
     return pivot.select("*", *share)
 
 
+def _by_person(events: DataFrame) -> tuple[DataFrame, list[str], list[Column]]:
+    order = [F.col("ts"), F.col("event_id")]
+    return scan.pieces(events, [F.col("person_id"), *order]), ["person_id"], order
+
+
 def gap_groups(events: DataFrame, gap: str = "INTERVAL '1' MINUTE") -> DataFrame:
     """Number the runs of a person's events whose gaps are at most ``gap``.
 
-    Windows run per person and calendar day, so a person with very many events is not one task. Days are
-    stitched through a one-row-per-day table: the first event of a day continues the previous active
-    day's last group when the gap between them is small enough.
+    A person with very many events is scanned in pieces; the breaks counted in the pieces before are added.
     """
-    day = W.partitionBy("person_id", "date").orderBy("ts", "event_id")
-    prev = F.lag("ts").over(day)
-    marked = events.withColumn("gap", F.col("ts") - prev).withColumn(
-        "opens", F.when(F.col("gap") > F.expr(gap), 1).otherwise(0)
-    )
-    local = marked.withColumn("local", F.sum("opens").over(day.rowsBetween(W.unboundedPreceding, 0)))
-    days = events.groupBy("person_id", "date").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    opened = local.groupBy("person_id", "date").agg(F.sum("opens").alias("inside"))
-    per_person = W.partitionBy("person_id").orderBy("date")
-    seam = F.col("first") - F.lag("last").over(per_person)
-    base = (
-        days.join(opened, ["person_id", "date"])
-        .withColumn("breaks", F.when(seam > F.expr(gap), 1).otherwise(0))
-        .withColumn(
-            "base",
-            F.sum(F.col("breaks")).over(per_person.rowsBetween(W.unboundedPreceding, 0))
-            + F.coalesce(F.sum("inside").over(per_person.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        )
-        .select("person_id", "date", "base")
-    )
-    return local.join(base, ["person_id", "date"]).select(
-        "person_id", "event_id", "ts", "date", "type", (F.col("local") + F.col("base")).cast("long").alias("grp")
-    )
+    rows, keys, order = _by_person(events)
+    rows = scan.with_neighbour(rows, keys, order, "ts", "_prev")
+    rows = rows.withColumn("_opens", F.when(F.col("ts") - F.col("_prev") > F.expr(gap), 1).otherwise(0))
+    rows = scan.with_running(rows, keys, order, "_opens", "_grp")
+    return rows.select("person_id", "event_id", "ts", "date", "type", F.col("_grp").cast("long").alias("grp"))
 
 
 def next_gap_minutes(events: DataFrame) -> DataFrame:
-    """Minutes to a person's next event; null on the last one. Runs per day and stitches the days."""
-    day = W.partitionBy("person_id", "date").orderBy("ts", "event_id")
-    firsts = events.groupBy("person_id", "date").agg(F.min("ts").alias("first"))
-    nxt = firsts.withColumn("next_first", F.lead("first").over(W.partitionBy("person_id").orderBy("date")))
-    gap = (F.coalesce(F.lead("ts").over(day), F.col("next_first")) - F.col("ts")).cast("interval second")
-    return events.join(nxt.drop("first"), ["person_id", "date"]).select(
-        "person_id", "event_id", (gap.cast("decimal(20,6)").cast("double") / 60).alias("gap_min")
-    )
+    """Minutes to a person's next event; null on the last one."""
+    rows, keys, order = _by_person(events)
+    rows = scan.with_neighbour(rows, keys, order, "ts", "_next", ahead=True)
+    gap = (F.col("_next") - F.col("ts")).cast("interval second")
+    return rows.select("person_id", "event_id", (gap.cast("decimal(20,6)").cast("double") / 60).alias("gap_min"))
 
 
 def group_consistency(groups: DataFrame) -> DataFrame:

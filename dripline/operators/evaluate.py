@@ -50,14 +50,18 @@ def box_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     return quantiles(df, value, [by], {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
 
 
+#: Values of a part that are put in order at once, and passes at most (a pass divides a range of values by 1,024).
+FEW_VALUES, MOST_PASSES = 10_000, 40
+
+
 def quantiles(
     df: DataFrame, value: str, by: list[str], wanted: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, at any size; ``weight`` counts a row several times.
 
-    Only the values around the wanted ranks matter. Equal-width buckets are counted twice, the second time inside the
-    buckets that hold a wanted rank; the values left over are put in order and read. Groups are only ever counted by
-    partial aggregation, and the ordered rest is about a millionth of a smooth group.
+    Only the values around the wanted ranks matter. While a part holds more than ``FEW_VALUES`` of them, equal-width
+    buckets are counted and only those that hold a wanted rank are kept, as parts of their own, so each pass reads what
+    the pass before left. The rest is put in order and read. Groups are only ever counted by partial aggregation.
     """
     n_rows = F.sum(weight) if weight else F.count("*")
     keys = [*by, "_g"]
@@ -68,9 +72,11 @@ def quantiles(
     ranks = sizes.select(*keys, "_n", F.array_distinct(F.array(*ends)).alias("_ranks"))
     rows = counts.withColumn("_base", F.lit(0).cast("long"))
     part = keys
-    for level in ("_b1", "_b2"):
-        rows = _around_ranks(rows, ranks, keys, part, level)
-        part = [*part, level]
+    for level in range(MOST_PASSES):
+        if (rows.groupBy(*part).count().agg(F.max("count")).first()[0] or 0) <= FEW_VALUES:
+            break
+        rows = cut(_around_ranks(rows, ranks, keys, part, f"_b{level}"))
+        part = [*part, f"_b{level}"]
     before = F.sum("_c").over(W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, -1))
     placed = rows.withColumn("_start", F.col("_base") + F.coalesce(before, F.lit(0))).join(sizes, keys)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from dripline.functions import arrays as A, scalars as S
-from dripline.operators import eda, evaluate, grid, quality
+from dripline.operators import eda, evaluate, grid, quality, scan
 from dripline.plans import inputs as I
 from dripline.plans.catalog import hash01, query, with_ctes
 from dripline.session import scratch_path
@@ -601,9 +601,10 @@ def version_keys(spark, base):
 )
 def log_order(spark, base):
     """Newest first within each person's day."""
-    ev = usage_events(spark, base)
-    newest = W.partitionBy("person_id", "date").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return ev.select("person_id", "event_id", F.row_number().over(newest).alias("pos"))
+    newest = [F.desc("ts"), F.desc("event_id")]
+    rows = scan.pieces(usage_events(spark, base).withColumn("one", F.lit(1)), [F.col("person_id"), F.desc("date"), *newest])
+    placed = scan.with_running(rows, ["person_id", "date"], newest, "one", "pos")
+    return placed.select("person_id", "event_id", F.col("pos").cast("int").alias("pos"))
 
 
 @query(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dripline.functions import scalars as S
-from dripline.operators import diagnostics, eda, evaluate, grid, quality
+from dripline.operators import diagnostics, eda, evaluate, grid, quality, scan
 from dripline.sources import sinks, tables
 
 
@@ -35,6 +35,27 @@ def test_gap_of_exactly_a_minute_stays_in_the_group(spark):
     assert gaps[0] == 1.0 and gaps[3] == pytest.approx(50 / 60) and gaps[5] is None and gaps[6] is None
 
 
+def test_a_person_with_half_of_all_events_is_scanned_in_pieces(spark):
+    rng = np.random.default_rng(2)
+    start = dt.datetime(2024, 1, 5)
+    hot = [(k, 1, start + dt.timedelta(seconds=int(s))) for k, s in enumerate(rng.integers(0, 86_000, 6000))]
+    rest = [(6000 + k, int(p), start + dt.timedelta(minutes=int(m))) for k, (p, m) in enumerate(zip(rng.integers(2, 300, 6000), rng.integers(0, 40_000, 6000)))]
+    rows = hot + rest
+    df = spark.createDataFrame([(*r, "hot") for r in rows], "event_id long, person_id long, ts timestamp_ntz, type string").withColumn("date", F.to_date("ts"))
+    want, gaps = {}, {}
+    for p in {r[1] for r in rows}:
+        mine = sorted((r[2], r[0]) for r in rows if r[1] == p)
+        grp = 0
+        for k, (t, e) in enumerate(mine):
+            grp += k > 0 and t - mine[k - 1][0] > dt.timedelta(minutes=1)
+            want[e] = grp
+            gaps[e] = (mine[k + 1][0] - t).total_seconds() / 60 if k + 1 < len(mine) else None
+    assert {r["event_id"]: r["grp"] for r in eda.gap_groups(df).collect()} == want
+    assert {r["event_id"]: r["gap_min"] for r in eda.next_gap_minutes(df).collect()} == pytest.approx(gaps)
+    placed = scan.pieces(df, [F.col("person_id"), F.col("ts"), F.col("event_id")])
+    assert max(r["count"] for r in placed.groupBy("_piece", "person_id").count().collect()) <= 0.05 * len(rows)
+
+
 def test_night_band_wraps_midnight(spark):
     hours = spark.range(24).withColumnRenamed("id", "h")
     got = {r["h"]: r["b"] for r in hours.select("h", eda.band_of(F.col("h")).alias("b")).collect()}
@@ -83,6 +104,18 @@ def test_quantiles_equal_numpy_with_weights_and_ties(spark):
     assert flat["q1"] == pytest.approx(np.percentile([r[1] for r in rows], 25))
 
 
+def test_quantiles_of_values_over_twelve_decades(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "FEW_VALUES", 500)
+    left = []
+    around = evaluate._around_ranks
+    monkeypatch.setattr(evaluate, "_around_ranks", lambda *a, **k: left.append(a) or around(*a, **k))
+    x = 10 ** np.random.default_rng(5).uniform(-6, 6, 20_000)
+    df = spark.createDataFrame([("A", float(v)) for v in x], "g string, v double")
+    got = evaluate.quantiles(df, "v", ["g"], {"a": 0.01, "b": 0.25, "c": 0.75}).first()
+    assert [got[c] for c in "abc"] == pytest.approx(np.percentile(x, [1, 25, 75]).tolist())
+    assert 2 <= len(left) <= 6  # passes until the rest is small
+
+
 @pytest.mark.parametrize(
     "days,want",
     [(365, (356, 5, 4)), (31, (22, 5, 4)), (29, (20, 5, 4)), (28, (19, 4, 5)), (5, (3, 1, 1)), (6, (4, 1, 1))],
