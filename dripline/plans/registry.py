@@ -1,6 +1,7 @@
 """Loads every plan module; importing them fills the catalogue."""
 
 from dripline.plans import (  # noqa: F401
+    chain_plans,
     feature_plans,
     model_plans,
     score_plans,

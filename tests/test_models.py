@@ -187,11 +187,18 @@ def test_global_fit_importance_and_folds(spark):
     assert cv.count() == df.count() and cv.select("fold").distinct().count() == 3
 
 
-def test_weak_models_are_refitted(spark):
-    df = personal_rows(spark, 20, 8)
-    metrics = spark.createDataFrame([("A", 0.9, 90.0)], "scope string, r2 double, accuracy double")
-    kept = object()
-    assert regress.retrain_weak({"A": kept}, metrics, df, {"r2": 0.6, "accuracy": 60.0}, rounds=1)["A"] is kept
+def test_weak_models_are_refitted_and_good_ones_kept(spark):
+    good = personal_rows(spark, 20, 8)
+    noise = good.withColumn("pattern", F.lit("B")).withColumn("amount", F.rand(3) * 1000 + 1)
+    df = good.union(noise).union(good.limit(5).withColumn("pattern", F.lit("C"))).cache()
+    names = ["f1", "f2"]
+    models, log = regress.train_patterns(df, names, rounds=2, tries=2, limits={"r2": 0.5, "accuracy": 50.0})
+    assert models.keys() == {"A", "B"}
+    status = {(p, k): s for p, k, _, _, s in log}
+    assert status == {("C", 0): "small", ("A", 1): "good", ("B", 1): "again", ("B", 2): "weak"}
+    again, log = regress.train_patterns(df, names, models, rounds=1, tries=1, limits={"r2": 0.5, "accuracy": 50.0})
+    assert again["A"] is models["A"] and again["B"] is not models["B"]
+    assert {(p, k, s) for p, k, _, _, s in log} == {("C", 0, "small"), ("A", 0, "kept"), ("B", 0, "refit"), ("B", 1, "weak")}
 
 
 def test_frames_and_mahalanobis(spark):
