@@ -36,7 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens, digest of the ids and digest of the decoded text of every document of the mix."""
-    return bpe_codec.digests(docs, bpe_codec.default_path("byte_bpe_50k.json"))
+    return bpe_codec.digests(docs, bpe_codec.default_path("byte_bpe_50k.json"), lean=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -9,7 +9,7 @@ from itertools import chain
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dripline.llm.bpe_prefix import Memo, vocabulary
+from dripline.llm.bpe_prefix import MEMO_PAIRS, MEMO_WORDS, Memo, vocabulary
 from dripline.llm.catalog import query
 from dripline.llm.common import per_text, table
 
@@ -23,11 +23,17 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes with one vocabulary; remembers the ids of chunks (white space and what follows it)."""
+    """Encodes and decodes with one vocabulary; remembers the ids of chunks (white space and what follows it).
 
-    def __init__(self, path: str):
+    A lean codec remembers a quarter and takes a megabyte of text at a time: less memory, more work.
+    """
+
+    def __init__(self, path: str, lean: bool = False):
         self.vocab = vocabulary(path)
-        self.known = Memo()
+        self.known = Memo(MEMO_WORDS // 4 if lean else None)
+        if lean:
+            self.vocab.merges.most_pairs = MEMO_PAIRS // 4
+        self.stride = 1 << 20 if lean else 1 << 62
 
     def chunks(self, text: str) -> list[str]:
         parts = self.vocab.segments(text)
@@ -48,6 +54,15 @@ class Codec:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        out, start, size = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= self.stride or end == len(texts):
+                out += self._encode(texts[start:end])
+                start, size = end, 0
+        return out
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [self.chunks(t.decode("utf-8", "replace")) for t in texts]
         if len(self.known) < 1 or not all(map(self.known.__contains__, chain.from_iterable(cut))):
             self.learn([*chain.from_iterable(cut)])
@@ -63,28 +78,29 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, lean: bool = False) -> Codec:
+    return Codec(path, lean)
 
 
-def encode_texts(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None, lean: bool = False) -> DataFrame:
     """(row, n_tokens, ids, decoded): ids as packed 32-bit integers and the text they decode to (UTF-8).
 
     Special tokens inside a text are tokens, as the library has it. Null counts as empty and has no ids; long texts
     are encoded whole; every row, repeated or not, gets its own result; an empty table gives an empty one.
-    ``path`` is a file of the tokenizers library with byte-level words that every executor can open.
+    ``path`` is a file of the tokenizers library with byte-level words that every executor can open. ``lean`` is for
+    jobs that share their executors with other steps.
     """
 
     def run(texts: list[bytes]) -> list:
-        c = codec(path)
+        c = codec(path, lean)
         ids = c.encode(texts)
         return [[len(x) // 4 for x in ids], ids, [c.decode(x) for x in ids]]
 
     return per_text(docs, run, "n_tokens long, ids binary, decoded binary", text_col, carry)
 
 
-def digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    out = encode_texts(docs, path, text_col, [id_col])
+def digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", lean: bool = False) -> DataFrame:
+    out = encode_texts(docs, path, text_col, [id_col], lean)
     return out.select(
         F.col(f"row.`{id_col}`").alias(id_col),
         "n_tokens",

@@ -44,6 +44,7 @@ class Merges:
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
         self._apart: dict[int, bool] = {}
+        self.most_pairs = MEMO_PAIRS
         cut = len(end)
         self.inner, self.final = {}, {}
         for token, i in vocab.items():
@@ -91,7 +92,7 @@ class Merges:
         key = a << 24 | b
         known = self._apart.get(key)
         if known is None:
-            if len(self._apart) >= MEMO_PAIRS:
+            if len(self._apart) >= self.most_pairs:
                 self._apart.clear()
             known = self._apart[key] = self._meet(a, b) is None
         return known
@@ -217,10 +218,13 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Memo(dict):
-    """Results by word, reset when it would grow over ``MEMO_WORDS``."""
+    """Results by word, reset when it would grow over ``most`` words (``MEMO_WORDS`` unless set)."""
+
+    def __init__(self, most: int | None = None):
+        self.most = most
 
     def missing(self, wanted: Iterable) -> set:
         """What of ``wanted`` isn't known; makes room first."""
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= (self.most or MEMO_WORDS):
             self.clear()
         return set(filterfalse(self.__contains__, wanted))
