@@ -116,12 +116,11 @@ def test_splits_of_many_nodes_equal_trying_every_cut(seed):
     node = rng.integers(-1, 7, 80)
     lam = rng.random(8)
     orders = np.argsort(bins, axis=0, kind="stable").T
-    feature, cut, total, count = personal.best_splits(orders, bins, grad, node, 8, 0.1, lam)
+    feature, cut = personal.best_splits(orders, bins, grad, node, 8, 0.1, lam)
     for k in range(8):
         rows = node == k
         gains = gains_by_hand(bins[rows], grad[rows], 0.1, lam[k])
         best = max(gains.values(), default=0.0)
-        assert count[k] == rows.sum() and total[k] == pytest.approx(grad[rows].sum())
         assert gains[feature[k], cut[k]] == pytest.approx(best) if best > 1e-9 else feature[k] == -1
 
 
