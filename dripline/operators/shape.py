@@ -25,6 +25,8 @@ EPS_RANGE, MIN_SAMPLES_RANGE = (0.3, 1.5), (3, 10)
 TRIES = 5
 SMALL_INPUT = 500  # only reported
 FENCE_FACTOR = 0.5
+#: Level of silhouette cells on which a cell is one vector.
+LAST_LEVEL = 5
 
 Params = dict[str, tuple[float, int]]
 
@@ -262,6 +264,112 @@ def silhouette_overall(samples: DataFrame) -> DataFrame:
     return samples.groupBy("pattern").agg(mean.alias("silhouette"))
 
 
+def _cells(rows: DataFrame, level: int) -> DataFrame:
+    """Weighted cells of each cluster: (pattern, label, weight, centre, var, row_key), finer with every level.
+
+    The first level parts vectors by the slot of their maximum, the next by their used slots, then by ever finer steps
+    of their values, and on the last level a cell is one vector.
+    """
+    if level >= LAST_LEVEL:
+        cells = rows.select("pattern", "label", "weight", F.col("vec").alias("centre"), F.lit(0.0).alias("var"), "row_key")
+        return cells.withColumn("weight", F.col("weight").cast("double"))
+    if level == 0:
+        cell = F.array(F.array_position("vec", F.array_max("vec")).cast("int"))
+    else:
+        step = 2 ** (level - 1)
+        cell = F.transform("vec", lambda x: F.when(x == 0, F.lit(-1)).otherwise(F.floor(x * step).cast("int")))
+    w, slots = F.col("weight"), range(A.SLOTS)
+    sums = rows.groupBy("pattern", "label", cell.alias("_cell")).agg(
+        F.sum(w).cast("double").alias("weight"), F.array(*[F.sum(w * F.col("vec")[i]) for i in slots]).alias("_sum"),
+        F.sum(w * A.dot(F.col("vec"), F.col("vec"))).alias("_squares"), F.min("row_key").alias("row_key"),
+    )
+    centre = F.transform("_sum", lambda x: x / F.col("weight"))
+    out = sums.withColumn("centre", centre)
+    var = F.greatest(F.col("_squares") / F.col("weight") - A.dot(F.col("centre"), F.col("centre")), F.lit(0.0))
+    return out.select("pattern", "label", "weight", "centre", var.alias("var"), "row_key")
+
+
+def _bounded_sums(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Per row and cluster the least and greatest weighted distance to the cells of the other tile.
+
+    The mean distance to a cell's members is at least the distance to their centre, and at most the root of the mean
+    squared distance, which is the squared distance to the centre plus the variance.
+    """
+    if not len(left) or not len(right):
+        return pd.DataFrame({"pattern": [], "row_key": [], "other": [], "lo": [], "hi": []})
+    d, w = distances(matrix(left["vec"]), matrix(right["centre"])), right["weight"].to_numpy()
+    far = np.sqrt(d * d + right["var"].to_numpy())
+    parts = []
+    for label in np.unique(right["label"]):
+        mask = (right["label"] == label).to_numpy()
+        parts.append(
+            pd.DataFrame(
+                {"row_key": left["row_key"], "other": int(label), "lo": d[:, mask] @ w[mask], "hi": far[:, mask] @ w[mask]}
+            )
+        )
+    return pd.concat(parts).assign(pattern=key[0])[["pattern", "row_key", "other", "lo", "hi"]]
+
+
+def silhouette_interval(labelled: DataFrame, level: int) -> tuple[DataFrame, int]:
+    """((pattern, low, high), compared pairs): bounds of the weighted mean silhouette from cells of this level."""
+    rows = labelled.filter("label >= 0")
+    cells = cut(_cells(rows, level))
+    pairs = rows.groupBy("pattern").count().join(cells.groupBy("pattern").agg(F.count("*").alias("cells")), "pattern")
+    compared = pairs.agg(F.sum(F.col("count") * F.col("cells"))).first()[0] or 0
+    sums = compare_tiles(
+        rows.select("pattern", "row_key", "vec"), cells, ["pattern"], _bounded_sums, "pattern string, row_key long, other int, lo double, hi double"
+    ).groupBy("pattern", "row_key", "other").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    sizes = rows.groupBy("pattern", F.col("label").alias("other")).agg(F.sum("weight").alias("size"))
+    own = F.col("label") == F.col("other")
+    both = sums.join(sizes, ["pattern", "other"]).join(rows.select("pattern", "row_key", "label", "weight"), ["pattern", "row_key"])
+
+    def mean(total: str) -> Column:
+        inside = F.when(F.col("size") > 1, F.col(total) / (F.col("size") - 1))
+        return F.when(own, inside).otherwise(F.col(total) / F.col("size"))
+
+    ab = both.withColumn("lo", mean("lo")).withColumn("hi", mean("hi")).groupBy("pattern", "row_key", "weight").agg(
+        F.max(F.when(own, F.col("lo"))).alias("a_lo"), F.max(F.when(own, F.col("hi"))).alias("a_hi"),
+        F.min(F.when(~own, F.col("lo"))).alias("b_lo"), F.min(F.when(~own, F.col("hi"))).alias("b_hi"),
+    )
+
+    def score(a: str, b: str) -> Column:
+        top = F.greatest(a, b)
+        return F.when(F.col(a).isNull() | F.col(b).isNull() | (top == 0), 0.0).otherwise((F.col(b) - F.col(a)) / top)
+
+    weight = F.sum("weight")
+    low, high = (F.sum(score(a, b) * F.col("weight")) / weight for a, b in (("a_hi", "b_lo"), ("a_lo", "b_hi")))
+    return ab.groupBy("pattern").agg(low.alias("low"), high.alias("high")), compared
+
+
+def gate_by_interval(labelled: DataFrame, log: list[tuple] | None = None) -> DataFrame:
+    """The verdict of ``cluster_gate`` from bounds of the silhouette, (pattern, clustered, coverage, low, high, passed).
+
+    Cells get finer only for the patterns whose bounds still hold the limit between them; patterns that miss the
+    coverage have their verdict without any comparison. The last level compares exactly. ``log`` receives
+    (level, patterns, compared pairs).
+    """
+    stats = coverage(labelled).collect()  # one row per pattern
+    found = {r["pattern"]: (None, None, False) for r in stats}
+    open_ = sorted(r["pattern"] for r in stats if r["covered"])
+    for level in range(LAST_LEVEL + 1):
+        if not open_:
+            break
+        bounds, compared = silhouette_interval(labelled.filter(F.col("pattern").isin(open_)), level)
+        if log is not None:
+            log.append((level, tuple(open_), compared))
+        for r in bounds.collect():
+            if level == LAST_LEVEL:  # exact up to rounding: rounded as the exact form is
+                mean = round((r["low"] + r["high"]) / 2, 6)
+                found[r["pattern"]] = (mean, mean, mean >= MIN_SILHOUETTE)
+            elif r["low"] > MIN_SILHOUETTE + 1e-6 or r["high"] < MIN_SILHOUETTE - 1e-6:
+                found[r["pattern"]] = (r["low"], r["high"], r["low"] > MIN_SILHOUETTE)
+            else:
+                continue
+            open_.remove(r["pattern"])
+    rows = [(r["pattern"], r["clustered"], r["coverage"], *found[r["pattern"]]) for r in stats]
+    return labelled.sparkSession.createDataFrame(rows, "pattern string, clustered long, coverage double, low double, high double, passed boolean")
+
+
 def squared_silhouette(labelled: DataFrame, pattern: str) -> float:
     """Silhouette under squared distance, computed from cluster sums in linear time.
 

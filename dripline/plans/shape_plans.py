@@ -142,6 +142,19 @@ def cluster_gate(spark, base):
     return quality.cluster_gate(shape.coverage(labelled).join(overall, "pattern", "left"))
 
 
+@query(
+    "cluster_gate_interval",
+    with_ctes(
+        """SELECT c.pattern, CAST(c.clustered AS BIGINT) AS clustered, c.coverage, COALESCE(s.silhouette >= 0.6 AND c.coverage >= 0.95, false) AS passed FROM cov c
+           LEFT JOIN (SELECT pattern, round(SUM(s * w) / SUM(w), 6) AS silhouette FROM sil GROUP BY pattern) s ON s.pattern = c.pattern""",
+        "vecs", extra=_DENSE,
+    ),
+)
+def cluster_gate_interval(spark, base):
+    """The verdict of the cluster gate from bounds; cells get finer only while it is open."""
+    return shape.gate_by_interval(_labelled(spark, base)).drop("low", "high")
+
+
 @query("cluster_sweep")
 def cluster_sweep(spark, base):
     """Log of the parameter search, one row per pattern and try."""

@@ -15,8 +15,8 @@ BASE = "/root/testdata/sf0.001"
 
 # Clustering chains take long; they have brute-force tests of their own. Set DRIPLINE_ALL=1 to run them here too.
 LONG = {
-    "cluster_compactness", "cluster_counts", "cluster_coverage", "cluster_gate", "dtw_medoid", "dtw_outliers",
-    "outlier_free_grid", "silhouette",
+    "cluster_compactness", "cluster_counts", "cluster_coverage", "cluster_gate", "cluster_gate_interval", "dtw_medoid", "dtw_outliers",
+    "inlier_rows", "outlier_free_grid", "silhouette",
 }
 NAMES = sorted(n for n in registry.SQL if n not in LONG or os.environ.get("DRIPLINE_ALL"))
 

@@ -193,3 +193,29 @@ def test_equal_days_collapse_into_one_weighted_vector(spark):
     df = spark.createDataFrame(rows, "pattern string, person_id long, date date, vec array<double>")
     got = shape.distinct_vectors(df).collect()
     assert len(got) == 1 and got[0]["weight"] == 4
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.12, 0.3])
+def test_silhouette_bounds_hold_the_exact_mean_and_close(spark, spread):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(90):
+        label = k % 3
+        v = np.zeros(48)
+        v[10 + 12 * label] = 1.0
+        v[11 + 12 * label] = 0.5 + spread * rng.random()
+        v[rng.integers(0, 48)] += spread
+        rows.append(("A", [float(x) for x in v / v.max()], int(rng.integers(1, 4)), k, label))
+    df = spark.createDataFrame(rows, "pattern string, vec array<double>, weight int, row_key long, label int").cache()
+    exact = shape.silhouette_overall(shape.silhouette_samples(df)).first()["silhouette"]
+    widths = []
+    for level in range(shape.LAST_LEVEL + 1):
+        got, compared = shape.silhouette_interval(df, level)
+        low, high = got.select("low", "high").first()
+        assert low - 1e-9 <= exact <= high + 1e-9
+        widths.append(high - low)
+    assert widths[-1] < 1e-9 and widths[0] < 1.0
+    log = []
+    verdict = shape.gate_by_interval(df, log).first()
+    assert verdict["passed"] == (round(exact, 6) >= shape.MIN_SILHOUETTE)
+    assert log[0][2] < 90 * 90
