@@ -44,14 +44,15 @@ SYMBOL_PERCENT, SHOUT_PERCENT, STUTTER_PERCENT, STUTTER_WORDS = 5, 20, 30, 5
 FRAGMENT_WORDS, BOILERPLATE_WORDS, LOST_PERCENT = 4, 30, 50
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 
+_CONTINUATION = bytes(range(0x80, 0xC0))
 _SHOUT = re.compile(rb"[!?]{2,}")
 _PHRASE = re.compile("|".join(map(re.escape, PHRASES)).encode())
 _CLOSING = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", "…".encode(), "。".encode())
 
 
 def points(text: bytes) -> int:
-    """Code points of UTF-8."""
-    return len(text) if text.isascii() else len(text.decode("utf-8", "surrogatepass"))
+    """Code points of UTF-8; in broken text every byte that isn't a continuation counts."""
+    return len(text) if text.isascii() else len(text.translate(None, _CONTINUATION))
 
 
 def line_fails(line: bytes, words: list[bytes]) -> bool:

@@ -75,7 +75,8 @@ class Rule:
 def compile_site(rule: str) -> tuple[re.Pattern, list[str]]:
     """Host and its subdomains, then the start of the path (case of the path counts)."""
     host, slash, path = rule.partition("/")
-    regex = re.compile(rf"(?:[^\n]*\.)?{re.escape(host)}\n{re.escape(slash + path)}", re.DOTALL)
+    # A host may hold a line break but no slash, and a path is empty or begins with one: so the parts stay apart.
+    regex = re.compile(rf"(?:[^/]*\.)?{re.escape(host)}\n(?=/|\Z){re.escape(slash + path)}", re.DOTALL)
     closed = path if path and not _TOKEN.match(path[-1].lower()) else path[: len(path) - len(re.search(r"[A-Za-z0-9]*$", path)[0])]
     return regex, _TOKEN.findall(host) + _TOKEN.findall(_lower(closed))
 

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from dripline.llm import chosen_paths, conversation_repair, pareto_mix, simhash_anchors, term_pipeline
+from dripline.llm import chosen_paths, conversation_repair, line_rules, pareto_mix, simhash_anchors, term_pipeline, url_rules
 from dripline.llm.queries import QUERIES
 
 BASE = "/root/testdata/sf0.001"
@@ -318,3 +318,21 @@ def test_equal_rows_are_weighed_together(spark):
     for r in got.values():
         # All equal rows or none: no other choice comes nearer to the target.
         assert abs(r.taken - r.target) <= min(abs(k * r.size - r.target) for k in range(4)) + 1e-6
+
+
+def test_a_line_break_in_a_host_is_part_of_it(spark):
+    rows = [
+        (1, "http://a\n.example.org/es/x"), (2, "http://example.org\nfoo/es/x"), (3, "http://x.com/a.example.org\n/es/"),
+        (4, "http://w.example.org/es/?q"), (5, "http://example.org/es/" + "x" * 50_000), (6, "http://w.example.org/es/?q"),
+    ]
+    df = spark.createDataFrame([*rows, rows[3]], "page_id long, url string")
+    got = url_rules.filter_urls(df).collect()
+    found = {r.page_id: r.rule for r in got}
+    assert len(got) == 7 and found[1] == found[4] == found[5] == found[6] == "example.org/es/"
+    assert found[2] is None and found[3] is None
+
+
+def test_broken_text_is_counted_and_judged(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'61C3206263FF' AS STRING) AS text UNION ALL SELECT 2L, 'ärger über öl'")
+    assert line_rules.line_rules(df, carry=["doc_id"]).count() == 2
+    assert line_rules.points("ärger 😀".encode()) == 7 and line_rules.points(b"a\xc3 bc\xff") == 6
