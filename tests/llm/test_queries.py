@@ -60,3 +60,26 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, BASE), "empty")
     assert docs.count() == 0
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Null, empty, long, repeated and nameless rows pass every stage or are dropped by its rule; none ends the job."""
+    docs = spark.read.parquet(f"{BASE}/documents.parquet")
+    good = docs.filter("length(text) > 400").limit(3).collect()
+    rows = [tuple(r) for r in good]
+    kinds = {f.name: i for i, f in enumerate(docs.schema)}
+
+    def with_(row, **values):
+        return tuple(values.get(name, row[i]) for name, i in kinds.items())
+
+    odd = [with_(rows[0], doc_id=900_000 + k, text=t) for k, t in enumerate([None, "", " \n\t", "word", rows[0][kinds["text"]] * 30])]
+    odd += [with_(rows[1], doc_id=None), with_(rows[1], doc_id=None), rows[2], rows[2], with_(rows[2], doc_id=rows[0][kinds["doc_id"]])]
+    odd += [with_(rows[0], doc_id=910_000, source=None, lang=None, n_chars=None)]
+    table = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    counts = [table.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        table = written(stage(spark, table, BASE), "odd")
+        counts.append(table.count())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert table.columns == docs.columns
+    assert 0 < counts[1] < counts[0] and counts[2] <= counts[1] and counts[3] < counts[2] and counts[5] == counts[4]
