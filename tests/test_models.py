@@ -273,3 +273,10 @@ def test_stream_scoring(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(src)
     streaming.score_shapes(stream, models, limits, out, scratch_path(spark, "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == df.count()
+
+
+def test_partitions_of_a_fit_end_at_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert regress.fit_partitions(spark, 0) == 1
+    assert regress.fit_partitions(spark, regress.FIT_ROWS + 1) == 2
+    assert regress.fit_partitions(spark, 72_000_000) == regress.FIT_WAVES * cores
