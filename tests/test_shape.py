@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dripline.functions import arrays as A
-from dripline.functions.dtw import cumulative_rows, dtw_rows
+from dripline.functions.dtw import cumulative_rows, dtw_by_length, dtw_rows, dtw_table, short_form
 from dripline.operators import shape, tiles
 from dripline.operators.components import components
 
@@ -219,3 +219,27 @@ def test_silhouette_bounds_hold_the_exact_mean_and_close(spark, spread):
     verdict = shape.gate_by_interval(df, log).first()
     assert verdict["passed"] == (round(exact, 6) >= shape.MIN_SILHOUETTE)
     assert log[0][2] < 90 * 90
+
+
+def test_short_forms_never_exceed_the_warping_distance(spark):
+    x = sparse(40, 21)
+    short = spark.createDataFrame([([float(v) for v in row],) for row in x], "vec array<double>")
+    short = [np.array(r[0]) for r in short.select(short_form(F.col("vec"))).collect()]
+    assert max(len(s) for s in short) < 20
+    low = dtw_by_length(short, short)
+    full = np.array([[brute_dtw(a, b) for b in x] for a in x])
+    assert low == pytest.approx(np.array([[brute_dtw(a, b) for b in short] for a in short]))
+    assert (low <= full + 1e-12).all()
+
+
+def test_few_members_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(shape, "FIRST_COMPARED", 4)
+    x = sparse(300, 22)
+    w = np.random.default_rng(5).integers(1, 4, len(x))
+    df = table(spark, x, w).withColumn("label", F.lit(0))
+    log = []
+    got = shape.medoids(df, spark.createDataFrame([("A", 0)], "pattern string, label int"), tile=64, log=log).first()
+    mean = dtw_table(x, x) @ w / w.sum()
+    assert got["row_key"] == int(mean.argmin())
+    assert got["mean_dtw"] == pytest.approx(mean.min(), abs=1e-8)
+    assert log[0][0] == len(x) and log[0][1] <= len(x) // 2
