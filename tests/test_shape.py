@@ -243,3 +243,18 @@ def test_few_members_are_compared_in_full(spark, monkeypatch):
     assert got["row_key"] == int(mean.argmin())
     assert got["mean_dtw"] == pytest.approx(mean.min(), abs=1e-8)
     assert log[0][0] == len(x) and log[0][1] <= len(x) // 2
+
+
+def test_one_cluster_needs_no_comparison(spark, monkeypatch):
+    given = []
+    plain = shape.compare_within
+
+    def counted(rows, *rest, **more):
+        given.append(rows.count())
+        return plain(rows, *rest, **more)
+
+    monkeypatch.setattr(shape, "compare_within", counted)
+    df = table(spark, sparse(30, 5), np.ones(30)).withColumn("label", F.when(F.col("row_key") > 3, 0).otherwise(-1))
+    got = shape.silhouette_samples(df).collect()
+    assert given == [0]
+    assert len(got) == df.filter("label = 0").count() and {r["silhouette"] for r in got} == {0.0}
