@@ -25,6 +25,8 @@ EPS_RANGE, MIN_SAMPLES_RANGE = (0.3, 1.5), (3, 10)
 TRIES = 5
 SMALL_INPUT = 500  # only reported
 FENCE_FACTOR = 0.5
+#: Rows of each bucket that all rows are compared with first.
+FIRST_PORTION = 512
 #: Members of a pattern that are compared with all others first.
 FIRST_COMPARED = 16
 #: Level of silhouette cells on which a cell is one vector.
@@ -86,51 +88,114 @@ def _visits(rows: DataFrame, eps: Column) -> DataFrame:
     return rows.withColumn("bucket", F.explode(F.when(eps < 1.0, slots.cast("array<int>")).otherwise(bands)))
 
 
-def _local_groups(adjacent: np.ndarray) -> np.ndarray:
-    """Component number of each node of a small adjacency matrix."""
-    n = len(adjacent)
-    group = np.full(n, -1)
-    for start in range(n):
-        if group[start] >= 0:
+def _portions(seen: DataFrame) -> tuple[DataFrame, int]:
+    """(``seen`` with ``portion``, number of portions): a hash deals the rows of a bucket to portions.
+
+    The first holds about ``FIRST_PORTION`` rows of each bucket, and each next one three times all before it. A search
+    that most rows end early reads the first portions with all its rows and the large ones with few.
+    """
+    sizes = cut(seen.groupBy("pattern", "bucket").agg(F.count("*").alias("n")))  # a few hundred buckets
+    most = sizes.agg(F.max("n")).first()[0] or 1
+    count = 1 + max(0, math.ceil(math.log(most / FIRST_PORTION, 4)))
+    # How many first portions lie before the place of a row.
+    place = F.pmod(F.xxhash64("row_key", F.lit(7)), F.lit(2**30)) / 2.0**30 * F.col("n") / FIRST_PORTION
+    number = F.when(place < 1, 0).otherwise(F.least(F.floor(F.log(place) / math.log(4)) + 1, F.lit(count - 1)))
+    return seen.join(F.broadcast(sizes), ["pattern", "bucket"]).withColumn("portion", number.cast("int")).drop("n"), count
+
+
+def _bipartite_groups(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component number of each row and each column of a table of links; -1 without any link."""
+    rows, columns = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
+    for start in np.flatnonzero(near.any(axis=1)):
+        if rows[start] >= 0:
             continue
-        front = np.array([start])
-        group[start] = start
+        rows[start], front = start, np.array([start])
         while len(front):
-            front = np.flatnonzero(adjacent[front].any(axis=0) & (group < 0))
-            group[front] = start
-    return group
+            across = np.flatnonzero(near[front].any(axis=0) & (columns < 0))
+            columns[across] = start
+            front = np.flatnonzero(near[:, across].any(axis=1) & (rows < 0))
+            rows[front] = start
+    return rows, columns
 
 
 def _count_neighbours(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Rows near each row, and which they are where they are fewer than it takes to be core."""
     if not len(left) or not len(right):
-        return pd.DataFrame({"pattern": [], "row_key": [], "near": []})
+        return pd.DataFrame({"pattern": [], "row_key": [], "near": [], "links": []})
     near = distances(matrix(left["vec"]), matrix(right["vec"])) <= left["eps"].to_numpy()[:, None]
-    return pd.DataFrame(
-        {"pattern": key[0], "row_key": left["row_key"].to_numpy(), "near": near @ right["weight"].to_numpy()}
-    )
+    count = near @ right["weight"].to_numpy()
+    few = count < left["least"].to_numpy()
+    named = right["row_key"].notna().to_numpy()
+    near, keys = near[:, named], right["row_key"].to_numpy()[named].astype(np.int64)
+    links = [keys[line] if short else keys[:0] for line, short in zip(near, few)]
+    return pd.DataFrame({"pattern": key[0], "row_key": left["row_key"].to_numpy(), "near": count, "links": links})
 
 
 def _link(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Links found in one tile pair: a spanning star per local component of core rows, and for each other row
-    one link per local component it can reach."""
-    none = pd.DataFrame({"pattern": [], "a": [], "b": [], "core": []})
+    """Links of core rows found in one tile pair: a spanning star per local component."""
     if not len(left) or not len(right):
-        return none
-    eps = float(left["eps"].iloc[0])
-    x, y = matrix(left["vec"]), matrix(right["vec"])
-    core = left["core"].to_numpy(dtype=bool)
-    keys = np.concatenate([left["row_key"].to_numpy()[core], right["row_key"].to_numpy()])
-    points = np.vstack([x[core], y]) if core.any() else y
-    group = _local_groups(distances(points, points) <= eps)
-    low = pd.Series(keys).groupby(group).transform("min").to_numpy()
-    out = [pd.DataFrame({"a": keys, "b": low, "core": True}).query("a != b")]
-    if (~core).any():
-        near = distances(x[~core], y) <= eps
-        r, c = np.nonzero(near)
-        reach = pd.DataFrame({"a": left["row_key"].to_numpy()[~core][r], "b": low[core.sum() :][c], "core": False})
-        out.append(reach)
-    merged = pd.concat(out).drop_duplicates()
-    return merged.assign(pattern=key[0])[["pattern", "a", "b", "core"]]
+        return pd.DataFrame({"pattern": [], "a": [], "b": []})
+    near = distances(matrix(left["vec"]), matrix(right["vec"])) <= float(left["eps"].iloc[0])
+    group = np.concatenate(_bipartite_groups(near))
+    keys = np.concatenate([left["row_key"].to_numpy(), right["row_key"].to_numpy()])[group >= 0]
+    low = pd.Series(keys).groupby(group[group >= 0]).transform("min")
+    return pd.DataFrame({"pattern": key[0], "a": keys, "b": low.to_numpy()}).query("a != b").drop_duplicates()
+
+
+def _sparse_rows(rows: DataFrame, eps: Column) -> DataFrame:
+    """(pattern, row_key, near, links) of the rows of sparse cells that are not core; ``links`` are their neighbours.
+
+    A row that has found ``least`` neighbours is core and leaves the search.
+    """
+    seen, portions = _portions(_visits(rows, eps).select("pattern", "bucket", "row_key", "vec", "weight"))
+    seen = cut(seen)
+    open_ = _homes(rows.filter("not dense and row_key is not null"), eps).select("pattern", "bucket", "row_key", "vec", "eps", "least")
+    none = F.array().cast("array<bigint>")
+    open_ = open_.withColumn("near", F.lit(0).cast("long")).withColumn("links", none)
+    for portion in range(portions):
+        found = compare_tiles(
+            open_.drop("near", "links"), seen.filter(F.col("portion") == portion).drop("portion"), ["pattern", "bucket"],
+            _count_neighbours, "pattern string, row_key long, near long, links array<bigint>",
+        )
+        more = found.groupBy("pattern", "row_key").agg(
+            F.sum("near").alias("_near"), F.flatten(F.collect_list(F.when(F.size("links") > 0, F.col("links")))).alias("_links")
+        )
+        joined = open_.join(more, ["pattern", "row_key"], "left")
+        joined = joined.withColumn("near", F.col("near") + F.coalesce("_near", F.lit(0)))
+        joined = joined.withColumn("links", F.concat("links", F.coalesce("_links", none))).drop("_near", "_links")
+        open_ = cut(joined.filter(F.col("near") < F.col("least")))
+    return open_.select("pattern", "row_key", "near", "links")
+
+
+def _core_roots(core: DataFrame, eps: Column) -> DataFrame:
+    """(pattern, node, root) of all core rows that have a neighbour.
+
+    The first portion of each bucket joins most rows of a pattern to one component, the settled one. Rows of other
+    components go on to the next portions: a link between two settled rows tells nothing new, and one between a settled
+    row and another is found by the other.
+    """
+    seen, portions = _portions(_visits(core, eps).select("pattern", "bucket", "row_key", "vec"))
+    seen = cut(seen)
+    every = cut(_homes(core, eps).select("pattern", "bucket", "row_key", "vec", "eps"))
+    left, known, anchors = every, None, None
+    for portion in range(portions):
+        links = compare_tiles(
+            left, seen.filter(F.col("portion") == portion).drop("portion"), ["pattern", "bucket"], _link, "pattern string, a long, b long"
+        )
+        if known is not None:
+            links = links.unionByName(known)
+        roots = cut(components(cut(links.distinct()), ["pattern"]))
+        known = roots.select("pattern", F.col("node").alias("a"), F.col("root").alias("b"))
+        if portion + 1 == portions:
+            break
+        if anchors is None:  # one row per pattern: a row of its settled component, which only grows
+            sizes = roots.groupBy("pattern", "root").count()
+            anchors = cut(sizes.groupBy("pattern").agg(F.max_by("root", F.struct("count", "root")).alias("anchor")))
+        settled = roots.join(F.broadcast(anchors), "pattern")
+        at = F.broadcast(settled.filter(F.col("node") == F.col("anchor")).select("pattern", F.col("root").alias("_at")))
+        settled = roots.join(at, "pattern").filter(F.col("root") == F.col("_at")).select("pattern", F.col("node").alias("row_key"))
+        left = cut(every.join(settled, ["pattern", "row_key"], "left_anti"))
+    return roots
 
 
 def dbscan(vectors: DataFrame, params: Params) -> DataFrame:
@@ -141,39 +206,28 @@ def dbscan(vectors: DataFrame, params: Params) -> DataFrame:
     """
     eps, least = _param(params, 0), _param(params, 1)
     rows = vectors.filter(F.col("pattern").isin(list(params))).withColumn("eps", eps.cast("double"))
-    rows = rows.withColumn("cell", _cell(F.col("eps")))
+    rows = rows.withColumn("least", least.cast("long")).withColumn("cell", _cell(F.col("eps")))
     crowds = rows.groupBy("pattern", "cell").agg(F.sum("weight").alias("crowd"))
     rows = cut(
-        rows.join(crowds, ["pattern", "cell"]).withColumn("dense", F.col("crowd") >= least).drop("cell", "crowd")
+        rows.join(crowds, ["pattern", "cell"]).withColumn("dense", F.col("crowd") >= F.col("least")).drop("cell", "crowd")
     )
     e = F.col("eps")
     # A crowded cell makes its rows core without any comparison; only the others count neighbours.
-    light = _homes(rows.filter("not dense"), e).select("pattern", "bucket", "row_key", "vec", "eps")
-    seen = _visits(rows, e).select("pattern", "bucket", "row_key", "vec", "weight")
-    near = compare_tiles(
-        light, seen, ["pattern", "bucket"], _count_neighbours, "pattern string, row_key long, near long"
-    ).groupBy("pattern", "row_key").agg(F.sum("near").alias("near"))
-    rows = cut(
-        rows.join(near, ["pattern", "row_key"], "left")
-        .withColumn("core", F.col("dense") | F.coalesce(F.col("near") >= least, F.lit(False)))
-        .drop("near", "dense")
+    light = _sparse_rows(rows, e)
+    marked = rows.join(light.select("pattern", "row_key", "near"), ["pattern", "row_key"], "left")
+    found = F.col("row_key").isNotNull() & F.col("near").isNull()
+    rows = cut(marked.withColumn("core", F.col("dense") | found).drop("least", "dense", "near"))
+    core = rows.filter("core").drop("core")
+    of_core = cut(
+        core.select("pattern", "row_key")
+        .join(_core_roots(core, e).withColumnRenamed("node", "row_key"), ["pattern", "row_key"], "left")
+        .withColumn("root", F.coalesce("root", "row_key"))
     )
-    links = cut(
-        compare_tiles(
-            _homes(rows, e).select("pattern", "bucket", "row_key", "vec", "eps", "core"),
-            _visits(rows.filter("core"), e).select("pattern", "bucket", "row_key", "vec"),
-            ["pattern", "bucket"],
-            _link,
-            "pattern string, a long, b long, core boolean",
-        ).distinct()
+    # A row that is not core has fewer than ``min_samples`` neighbours, so its links are a handful.
+    reach = light.select("pattern", "row_key", F.explode("links").alias("b"))
+    of_border = reach.join(of_core.withColumnRenamed("row_key", "b"), ["pattern", "b"]).groupBy("pattern", "row_key").agg(
+        F.min("root").alias("root")
     )
-    roots = components(links.filter("core"), ["pattern"])
-    of_core = rows.filter("core").select("pattern", "row_key").join(
-        roots.withColumnRenamed("node", "row_key"), ["pattern", "row_key"], "left"
-    ).withColumn("root", F.coalesce("root", "row_key"))
-    of_border = links.filter("not core").join(
-        roots.withColumnRenamed("node", "b"), ["pattern", "b"], "left"
-    ).groupBy("pattern", F.col("a").alias("row_key")).agg(F.min(F.coalesce("root", "b")).alias("root"))
     # One row per cluster reaches this window.
     numbers = of_core.select("pattern", "root").distinct().withColumn(
         "label", (F.row_number().over(W.partitionBy("pattern").orderBy("root")) - 1).cast("int")

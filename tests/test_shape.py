@@ -245,6 +245,36 @@ def test_few_members_are_compared_in_full(spark, monkeypatch):
     assert log[0][0] == len(x) and log[0][1] <= len(x) // 2
 
 
+@pytest.mark.parametrize("eps,least", [(0.5, 3), (0.9, 4), (1.2, 10)])
+def test_density_clusters_in_portions_match_brute_force(spark, monkeypatch, eps, least):
+    monkeypatch.setattr(shape, "FIRST_PORTION", 3)
+    x = sparse(180, 3)
+    w = np.random.default_rng(1).integers(1, 4, len(x))
+    label, core = brute_dbscan(x, w, eps, least)
+    got = sorted(shape.dbscan(table(spark, x, w), {"A": (eps, least)}).collect(), key=lambda r: r["row_key"])
+    assert [r["core"] for r in got] == core.tolist()
+    assert [r["label"] for r in got] == label.tolist()
+
+
+def test_rows_that_found_enough_neighbours_leave_the_search(spark, monkeypatch):
+    monkeypatch.setattr(shape, "FIRST_PORTION", 8)
+    rng = np.random.default_rng(6)
+    x = np.zeros((400, 48))
+    x[:, 0], x[:, 1:6] = 1.0, rng.random((400, 5)) * 0.3  # one bucket, one cluster
+    compared = []
+    plain = tiles.compare_tiles
+
+    def counted(left, right, *rest, **more):
+        compared.append(left.count() * right.count())
+        return plain(left, right, *rest, **more)
+
+    monkeypatch.setattr(shape, "compare_tiles", counted)
+    got = shape.dbscan(table(spark, x, np.ones(400, int)), {"A": (0.31, 3)}).collect()
+    label, core = brute_dbscan(x, np.ones(400, int), 0.31, 3)
+    assert [r["label"] for r in sorted(got, key=lambda r: r["row_key"])] == label.tolist()
+    assert sum(compared) < 400 * 400
+
+
 def test_one_cluster_needs_no_comparison(spark, monkeypatch):
     given = []
     plain = shape.compare_within
