@@ -323,9 +323,14 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _stretches(big: DataFrame) -> DataFrame:
-    """(path, key): large nodes cut into stretches by a hash, with the first member of the node in every stretch."""
+    """(path, key): large nodes cut into stretches by a hash, with the first member of the node in every stretch.
+
+    A document is in the stretches of its largest node only: the pivots of its other large nodes are mostly the same
+    documents, and what they would add is found among the strays of those nodes.
+    """
     parts = F.ceil(F.col("size") / LEAF).cast("int")
-    rows = big.select("path", "key", F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"))
+    own = big.groupBy("key").agg(F.max(F.struct("size", "path")).alias("top")).select("top.path", "key", "top.size")
+    rows = own.select("path", "key", F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"))
     firsts = big.groupBy("path").agg(F.min("key").alias("key"), F.max(parts).alias("parts"))
     firsts = firsts.select("path", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return rows.unionByName(firsts).select(F.xxhash64("path", "part").alias("path"), "key").distinct()
@@ -340,8 +345,8 @@ def _split(big: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, Da
     rows = written(rows, "labelled")
     top = rows.groupBy("path", "label").count().groupBy("path").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.max("count").alias("c"), F.sum("count").alias("all"))
     top = small_side(top.select("path", "top", (F.col("all") - F.col("c")).alias("strays")).filter("strays > 0"))
-    rows = rows.join(top, "path")
-    few = rows if last else rows.filter(F.col("strays") <= LEAF)
+    here = F.lit(last) | (F.col("strays") <= LEAF)
+    few = rows.join(top.filter(here), "path")
     half = LEAF // 2
     tiles, parts = (F.ceil(F.col(c) / half).cast("int") for c in ("strays", "size"))
     few = few.withColumn("tiles", tiles).withColumn("parts", parts)
@@ -351,7 +356,7 @@ def _split(big: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, Da
     strays = few.filter(F.col("label") != F.col("top")).withColumn("t", tile("tiles")).withColumn("p", every("parts")).select(columns)
     others = few.withColumn("p", tile("parts")).withColumn("t", every("tiles")).select(columns)
     met = strays.unionByName(others).select(F.xxhash64("path", "t", "p").alias("path"), "key").distinct()
-    return met, rows.filter(F.lit(not last) & (F.col("strays") > LEAF)).select("path", "key")
+    return met, rows.join(top.filter(~here), "path", "left_semi").select("path", "key")
 
 
 def near_duplicates(
