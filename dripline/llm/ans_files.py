@@ -17,7 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dripline.llm.bpe_codec import default_path
-from dripline.llm.bpe_prefix import Memo
+from dripline.llm.bpe_prefix import MEMO_WORDS, Memo
 from dripline.llm.catalog import query
 from dripline.llm.common import bytes_of, map_batches, small_side, table, written
 from dripline.session import scratch_path
@@ -135,8 +135,17 @@ class Block:
         return np.concatenate([self.part(k) for k in range(len(self.marks))]) if self.marks else np.empty(0, np.uint32)
 
 
+#: Words of one request to the library, and what stands between them: one token that no other word ends with.
+ASKED, MARK = 64, "\x01"
+#: Words that a Python process remembers with their ids.
+REMEMBERED = 2 * MEMO_WORDS
+
+
 class LibraryIds:
-    """Ids of the tokenizers library, asked once per word: white space splits and is dropped by this vocabulary."""
+    """Ids of the tokenizers library, asked once per word: white space splits and is dropped by this vocabulary.
+
+    A request has a fixed cost, so many words are asked as one text, parted by ``MARK``.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -146,11 +155,26 @@ class LibraryIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
-        self.known = Memo()
+        self.known = Memo(REMEMBERED)
+        marks = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = marks[0] if len(marks) == 1 else None
 
-    def _ask(self, words: list[bytes]) -> list[list[int]]:
+    def _ask(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        alone = [self.mark is None or MARK in t for t in texts]
+        single = self.tokenizer.encode_batch_fast(list(compress(texts, alone)), add_special_tokens=False)
+        joined = [t for t, a in zip(texts, alone) if not a]
+        asked = [f" {MARK} ".join([*joined[k : k + ASKED], ""]) for k in range(0, len(joined), ASKED)]
+        got = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in got), "<u4")
+        ends = np.flatnonzero(ids == self.mark) if joined else np.empty(0, np.int64)
+        if len(ends) != len(joined):
+            raise ValueError("the mark doesn't part the words")
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        parts = (data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends))
+        alone_ids = (np.array(e.ids, "<u4").tobytes() for e in single)
+        return [next(alone_ids if a else parts) for a in alone]
 
     def learn(self, cut: list[list[bytes]]) -> None:
         new = self.known.missing(chain.from_iterable(cut))
@@ -159,7 +183,7 @@ class LibraryIds:
         words = list(new)
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            self.known.update((w, np.array(i, "<u4").tobytes()) for w, i in zip(part, self._ask(part)))
+            self.known.update(zip(part, self._ask(part)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [t.split() for t in texts]

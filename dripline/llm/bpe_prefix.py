@@ -157,6 +157,15 @@ class Merges:
         and the list holds its count alone.
         """
         out = {}
+        if not every:
+            for word, _, start, closed in self.walk(words):
+                out[word], i = [0], closed[-1][1]
+                if word:
+                    n = 1
+                    while i:
+                        n, i = n + 1, start[i]
+                    out[word].append(n)
+            return out
         counts = [0]  # of the open prefixes on the stack
         before = ""
         for word, _, start, closed in self.walk(words, every):
@@ -167,8 +176,7 @@ class Merges:
             for i in range(n + 1, len(word) + 1):
                 counts.append(counts[start[i]] + 1)
             before = word
-            ends = closed[1:] if every else closed[-1:] if word else []
-            out[word] = [0, *[counts[j] + 1 for _, j in ends]]
+            out[word] = [0, *[counts[j] + 1 for _, j in closed[1:]]]
         return out
 
 
@@ -218,13 +226,22 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Memo(dict):
-    """Results by word, reset when it would grow over ``most`` words (``MEMO_WORDS`` unless set)."""
+    """Results by word, thinned out when it would grow over ``most`` words (``MEMO_WORDS`` unless set).
+
+    Most words of a corpus come once. What was asked for again since the last thinning stays, the rest goes.
+    """
 
     def __init__(self, most: int | None = None):
-        self.most = most
+        self.most, self.again = most, set()
 
     def missing(self, wanted: Iterable) -> set:
         """What of ``wanted`` isn't known; makes room first."""
-        if len(self) >= (self.most or MEMO_WORDS):
+        wanted, most = set(wanted), self.most or MEMO_WORDS
+        if len(self) >= most:
+            kept = {w: self[w] for w in self.again} if len(self.again) <= most // 2 else {}
             self.clear()
-        return set(filterfalse(self.__contains__, wanted))
+            self.update(kept)
+            self.again.clear()
+        new = set(filterfalse(self.__contains__, wanted))
+        self.again |= wanted - new
+        return new

@@ -14,11 +14,13 @@ from itertools import accumulate, chain
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dripline.llm.bpe_codec import default_path
-from dripline.llm.bpe_prefix import Memo, vocabulary
+from dripline.llm.bpe_prefix import MEMO_WORDS, Memo, vocabulary
 from dripline.llm.catalog import query
 from dripline.llm.common import per_text, table
 
 LIMIT = 2048
+#: Words that a Python process remembers with their counts.
+REMEMBERED = 2 * MEMO_WORDS
 
 
 class Counter:
@@ -26,7 +28,7 @@ class Counter:
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        self.known = Memo()
+        self.known = Memo(REMEMBERED)
 
     def prefixes(self, words, every: bool = True) -> dict[bytes, list[int]]:
         """Counts at every prefix of each word, by normalised byte; the last is the count of the whole word.

@@ -6,11 +6,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from dripline.llm import chosen_paths, conversation_repair, line_rules, pareto_mix, simhash_anchors, term_pipeline, url_rules
+from dripline.llm import ans_files, bpe_prefix, chosen_paths, conversation_repair, line_rules, pareto_mix, simhash_anchors, term_pipeline, url_rules
 from dripline.llm.queries import QUERIES
 
 BASE = "/root/testdata/sf0.001"
@@ -336,3 +337,38 @@ def test_broken_text_is_counted_and_judged(spark):
     df = spark.sql("SELECT 1L AS doc_id, CAST(X'61C3206263FF' AS STRING) AS text UNION ALL SELECT 2L, 'ärger über öl'")
     assert line_rules.line_rules(df, carry=["doc_id"]).count() == 2
     assert line_rules.points("ärger 😀".encode()) == 7 and line_rules.points(b"a\xc3 bc\xff") == 6
+
+
+def test_stretches_hold_a_document_once(spark, monkeypatch):
+    """Two large nodes of the same documents: each document is in the larger, both pivots are in all their stretches."""
+    monkeypatch.setattr(chosen_paths, "LEAF", 10)
+    rows = [(1, k, 40) for k in range(40)] + [(2, k, 30) for k in range(5, 35)]
+    got = chosen_paths._stretches(spark.createDataFrame(rows, "path long, key long, size long")).collect()
+    assert {r.key for r in got} == set(range(40))
+    assert Counter(r.key for r in got if r.key not in (0, 5)) == Counter(k for k in range(40) if k not in (0, 5))
+    assert len({r.path for r in got if r.key == 0}) == 4
+
+
+def test_memo_keeps_what_was_asked_again():
+    memo = bpe_prefix.Memo(4)
+    for batch in (["a", "b"], ["a", "c"], ["d"]):
+        memo.update((w, w) for w in memo.missing(batch))
+    assert memo.missing(["a", "b", "e"]) == {"b", "e"}  # full: only "a" came twice
+    memo.update((w, w) for w in "becd")
+    assert memo.missing(iter("ax")) == {"a", "x"}  # full again, and nothing of it was asked for again
+
+
+def test_library_ids_of_many_words_at_once():
+    """One request for many words gives the ids of each: odd characters, special strings, the mark itself, broken UTF-8."""
+    import public_tokenizers
+
+    ids = ans_files.LibraryIds(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcäßÉ'0.,。́") for _ in range(rng.randint(1, 9))).encode() for _ in range(300)]
+    odd = ["\x01", "a\x01b", "\x01\x01", "<|endoftext|>", "x<|startoftext|>y", "<|endof", "text|>", "　", "ΑΣ", "İ", "́e"]
+    words += [x.encode() for x in odd] + [b"\xff\xfe", b"caf\xc3"]
+    want = [ids.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words]
+    asked, real = [], ids.tokenizer
+    ids.tokenizer = SimpleNamespace(encode_batch_fast=lambda texts, **k: asked.extend(texts) or real.encode_batch_fast(texts, **k))
+    assert ids.encode(words) == [b"".join(i.to_bytes(4, "little") for i in x) for x in want]
+    assert len(asked) < len(words) / 10
