@@ -124,8 +124,9 @@ def five_day_shapes(spark, base):
 def day_attributes(spark, base):
     """Lists that every slot row of a day repeats, taken from its first row and attached to the grid."""
     ev = usage_events(spark, base)
-    dense = grid.dense_grid(grid.slot_sums(ev))
-    source = dense.select(*grid.DAY, "slot").join(grid.day_attributes(ev), grid.DAY)
+    rows = ev.count()
+    dense = grid.dense_grid(grid.placed_by_day(grid.slot_sums(ev), rows))
+    source = dense.select(*grid.DAY, "slot").join(grid.placed_by_day(grid.day_attributes(ev), rows), grid.DAY)
     out = grid.attach_day_attributes(dense, source, ["start_hours", "counts"])
     return out.select(
         *grid.DAY, "slot", F.col("amount").cast("double").alias("amount"),

@@ -89,6 +89,40 @@ def test_incomplete_days_and_blocks_are_left_out(spark, slots_of):
     assert got[0]["vec"][3] == 1.0 and got[0]["vec"][4] == 0.5
 
 
+def test_sparse_shapes_equal_those_of_the_calendar_grid(spark, slots_of):
+    """Random persons with gaps of whole blocks, incomplete first and last blocks, and blocks before the start."""
+    rng = np.random.default_rng(4)
+    rows = {(p, int(d), int(s)) for p in range(12) for d, s in zip(rng.integers(1, 31, 6), rng.integers(0, 48, 6))}
+    rows |= {(50, 1, 5), (50, 30, 5), (51, 6, 0), (51, 10, 47), (52, 2, 3), (52, 6, 3)}
+    s = slots_of([(p, d, k, 1 + p + d + k) for p, d, k in sorted(rows)])
+    for start in (grid.first_day(s), F.lit("2024-01-09").cast("date")):
+        want = sorted(map(tuple, grid.five_day_shapes(grid.with_blocks(grid.calendar_grid(s), start).drop("block"), start).collect()))
+        assert sorted(map(tuple, grid.sparse_five_day_shapes(s, start).collect())) == want
+        assert any(not any(vec) for *_, vec in want)
+
+
+def test_days_are_placed_by_their_number_not_their_bytes(spark, slots_of):
+    """A task has so many days however small their bytes, and a join on the day keeps that placement."""
+    s = slots_of([(p, d, 3, 5) for p in range(9) for d in range(1, 5)])
+    dense = grid.dense_grid(grid.placed_by_day(s, 40 * grid.DAY_ROWS))
+    assert dense.rdd.getNumPartitions() == 40
+    days = grid.placed_by_day(s.groupBy(*grid.DAY).agg(F.max("slot").alias("m")), 40 * grid.DAY_ROWS)
+    assert dense.join(days.hint("merge"), grid.DAY).rdd.getNumPartitions() == 40
+
+
+def test_projection_computes_its_vectors_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(i):
+        seen.add(1)
+        return [float(i), float(i * i % 7), 1.0]
+
+    out = diagnostics.project_2d(spark.range(40).select("id", vector("id").alias("vec")), ["id"])
+    assert out.count() == 40 and len(out.collect()) == 40
+    assert seen.value == 40
+
+
 def test_quantiles_equal_numpy_with_weights_and_ties(spark):
     rng = np.random.default_rng(1)
     rows = [(g, float(v), int(w)) for g in "AB" for v, w in zip(rng.integers(0, 30, 50), rng.integers(1, 5, 50))]
