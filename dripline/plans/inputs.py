@@ -22,7 +22,7 @@ def feature_rows(spark: SparkSession, base: str) -> DataFrame:
 
 def shapes(spark: SparkSession, base: str) -> DataFrame:
     s = slots(spark, base)
-    return grid.five_day_shapes(grid.calendar_grid(s), grid.first_day(s))
+    return grid.sparse_five_day_shapes(s, grid.first_day(s))
 
 
 def predictions(spark: SparkSession, base: str) -> DataFrame:
