@@ -10,7 +10,7 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from dripline.session import cut
+from dripline.session import cut, scratch_path
 
 # Limits of the diagnostics.
 MAX_VIF = 15.0
@@ -138,8 +138,13 @@ def replace_by_components(df: DataFrame, columns: list[str], kept: float = VARIA
 
 
 def project_2d(vectors: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
-    """First two principal components of centred vectors."""
-    rows = vectors.withColumn("_v", array_to_vector(vec))
+    """First two principal components of centred vectors.
+
+    Several passes follow; the vectors are written once, in columns since most of their numbers are equal.
+    """
+    path = scratch_path(vectors.sparkSession, "vectors")
+    vectors.select(*keys, vec).write.parquet(path)
+    rows = vectors.sparkSession.read.schema(vectors.select(*keys, vec).schema).parquet(path).withColumn("_v", array_to_vector(vec))
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(rows)
     # Spark's projection is not centred; subtracting the projected mean centres it.
     means = rows.agg(*[F.avg(F.col(vec)[i]).alias(f"m{i}") for i in range(model.pc.numRows)]).first()
