@@ -12,7 +12,9 @@ same time. A folder holds ``blocks`` (Parquet records of blocks with their place
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,13 +23,14 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dripline.llm.bpe_codec import default_path
 from dripline.llm.bpe_prefix import MEMO_WORDS, Memo
 from dripline.llm.catalog import query
-from dripline.llm.common import bytes_of, map_batches, small_side, table, written
+from dripline.llm.common import map_batches, small_side, table, written
 from dripline.session import scratch_path
 
 END, SCALE_BITS, LANES, BLOCK_IDS, CHECKPOINT_STEPS = 2, 20, 2048, 1 << 20, 256
@@ -139,57 +142,144 @@ class Block:
 ASKED, MARK = 64, "\x01"
 #: Words that a Python process remembers with their ids.
 REMEMBERED = 2 * MEMO_WORDS
+#: How a vocabulary lowers and cuts text if ASCII words may be lowered and punctuation after them asked for apart.
+STEPS = ["NFC", "Replace", "Lowercase"]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 class LibraryIds:
     """Ids of the tokenizers library, asked once per word: white space splits and is dropped by this vocabulary.
 
-    A request has a fixed cost, so many words are asked as one text, parted by ``MARK``.
+    A request has a fixed cost, so many words are asked as one text. Words of Latin letters are one piece each and end
+    with the token that closes it; others are parted by ``MARK``. Words that differ in ASCII capitals or in the
+    punctuation after them are asked once, if the vocabulary makes such pieces of them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocab.values(), default=-1) + 1
         self.known = Memo(REMEMBERED)
         marks = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = marks[0] if len(marks) == 1 else None
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cut = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        self.close = spec["model"].get("end_of_word_suffix")
+        self.plain = bool(self.close) and steps == STEPS and cut == PIECES
+        self.closes = np.zeros(self.size, dtype=bool)
+        if self.plain:
+            self.closes[[i for t, i in vocab.items() if t.endswith(self.close)]] = True
+        # For words in lower case that are one piece each: the same model without the steps that find that out.
+        self.lowered = Tokenizer(self.tokenizer.model)
+        steps = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.lowered.pre_tokenizer = pre_tokenizers.Sequence(steps)
+
+    @staticmethod
+    def _request(tokenizer, texts: list[str], mark: str, ends: np.ndarray) -> list[bytes]:
+        """Ids of each text, asked ``ASKED`` at a time; the ids marked in ``ends`` end a text, a ``mark`` is left out."""
+        if not texts:
+            return []
+        between = f" {mark} " if mark else " "
+        asked = [between.join([*texts[k : k + ASKED], ""]) for k in range(0, len(texts), ASKED)]
+        got = tokenizer.encode_batch_fast(asked, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in got), "<u4")
+        last = np.flatnonzero(ends[ids])
+        if len(last) != len(texts):
+            raise ValueError("the requests can't be parted into words")
+        data, stops = ids.tobytes(), (4 * last + (0 if mark else 4)).tolist()
+        starts = [0, *(4 * last + 4).tolist()]
+        return [data[a:b] for a, b in zip(starts, stops)]
 
     def _ask(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        alone = [self.mark is None or MARK in t for t in texts]
+        # Latin-1 letters stay single letters in every step, so such a word is one piece.
+        letters = [self.plain and t.isalpha() and (t.isascii() or max(t) < "\u0100") for t in texts]
+        alone = [not a and (self.mark is None or MARK in t) for t, a in zip(texts, letters)]
+        marked = [not a and not b for a, b in zip(letters, alone)]
         single = self.tokenizer.encode_batch_fast(list(compress(texts, alone)), add_special_tokens=False)
-        joined = [t for t, a in zip(texts, alone) if not a]
-        asked = [f" {MARK} ".join([*joined[k : k + ASKED], ""]) for k in range(0, len(joined), ASKED)]
-        got = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(e.ids for e in got), "<u4")
-        ends = np.flatnonzero(ids == self.mark) if joined else np.empty(0, np.int64)
-        if len(ends) != len(joined):
-            raise ValueError("the mark doesn't part the words")
-        data, ends = ids.tobytes(), (4 * ends).tolist()
-        parts = (data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends))
-        alone_ids = (np.array(e.ids, "<u4").tobytes() for e in single)
-        return [next(alone_ids if a else parts) for a in alone]
-
-    def learn(self, cut: list[list[bytes]]) -> None:
-        new = self.known.missing(chain.from_iterable(cut))
+        is_mark = np.arange(self.size) == (-1 if self.mark is None else self.mark)
+        of_letters = iter(self._request(self.lowered, [t.lower() for t in compress(texts, letters)], "", self.closes))
+        of_marked = iter(self._request(self.tokenizer, list(compress(texts, marked)), MARK, is_mark))
+        of_alone = (np.array(e.ids, "<u4").tobytes() for e in single)
+        return [next(of_letters if a else of_alone if b else of_marked) for a, b in zip(letters, alone)]
+
+    def _parts(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Each word as a word in lower case and the punctuation after it: together they have the same ids.
+
+        Punctuation is a piece of its own after an ASCII letter or digit or one of À to ÿ (0xC3 and another byte in
+        UTF-8). Words with ``<`` may hold special tokens.
+        """
+        heads, tails = [], []
+        for w in words:
+            head = w.rstrip(TAIL)
+            if not head[-1:].isalnum() and (head[-2:-1] != b"\xc3" or head[-1:] in b"\x97\xb7"):  # × and ÷
+                head = w
+            tails.append(w[len(head) :])
+            heads.append(head.lower() if head.isascii() and b"<" not in head else head)
+        return heads, tails
+
+    def _learn(self, words: list[bytes]) -> None:
+        if not self.plain:
+            self.known.update(zip(words, self._ask(words)))
+            return
+        heads, tails = self._parts(words)
+        wanted = {*heads, *tails} - {b""}
+        new = [p for p in wanted if p not in self.known]
+        self.known.again |= wanted.difference(new)
+        self.known.update(zip(new, self._ask(new)))
+        get = self.known.__getitem__
+        self.known.update((w, get(h) + get(t) if t else get(h)) for w, h, t in zip(words, heads, tails))
+
+    def learn(self, wanted: list[bytes]) -> None:
+        new = self.known.missing(wanted)
         if not self.known:  # it was reset
-            new = set(chain.from_iterable(cut))
+            new = set(wanted)
         words = list(new)
         for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            self.known.update(zip(part, self._ask(part)))
+            self._learn(words[k : k + 20_000])
+
+    def ids_of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a binary column, place after the last id of each); null is empty.
+
+        Arrow cuts the texts and tells distinct words, so only these become Python objects.
+        """
+        column = column.fill_null(b"")
+        texts = pa.Array.from_buffers(pa.string(), len(column), [None, *column.buffers()[1:]], offset=column.offset)
+        cut = pc.ascii_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        forms = words.dictionary
+        if self.plain:  # ASCII letters and punctuation after them: as ``_parts`` does, without Python objects
+            heads = pc.ascii_rtrim(forms, TAIL.decode())
+            simple = pc.ascii_is_alpha(heads)
+            tails = pc.if_else(simple, pc.ascii_ltrim(forms, string.ascii_letters), "")
+            heads = pc.if_else(simple, pc.ascii_lower(heads), forms)
+            pieces = pa.concat_arrays([heads, tails]).dictionary_encode()
+        else:
+            pieces = forms.dictionary_encode()
+        found = pieces.dictionary
+        distinct = pa.Array.from_buffers(pa.binary(), len(found), [None, *found.buffers()[1:]], offset=found.offset).to_pylist()
+        self.learn([w for w in distinct if w])  # an empty word: no tail, or white space at an end of a text
+        get = self.known.__getitem__
+        coded = pa.array([get(w) if w else w for w in distinct], pa.binary()).take(pieces.indices)
+        if self.plain:
+            coded = pc.binary_join_element_wise(coded[: len(forms)], coded[len(forms) :], b"")
+        coded = coded.take(words.indices)
+        _, offsets, data = coded.buffers()
+        places = np.frombuffer(offsets, "<i4", len(coded) + 1, 4 * coded.offset) if len(coded) else np.zeros(1, "<i4")
+        ids = np.frombuffer(data, "<u4", int(places[-1]) // 4) if places[-1] else np.empty(0, "<u4")
+        return ids, places[cut.offsets.to_numpy()[1:]].astype(np.int64) // 4
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        self.learn(cut)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        ids, ends = self.ids_of(pa.array(texts, pa.binary()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
@@ -199,14 +289,14 @@ def library(path: str) -> LibraryIds:
 
 def encoded(docs: DataFrame, path: str, kind: str, text_col: str, id_col: str, end: int) -> DataFrame:
     """(doc, ids): the ids of every text and its end as packed numbers, written once; the library is not asked again."""
-    close = struct.pack("<I", end)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [x + close for x in library(path).encode(bytes_of(batch.column(1)))]
-            ids = np.frombuffer(b"".join(packed), "<u4").astype(kind)
-            ends = np.cumsum([0, *map(len, packed)]) // 4 * ids.itemsize
-            values = pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(ids)])
+            if not len(batch):
+                continue
+            ids, ends = library(path).ids_of(batch.column(1))
+            ids = np.insert(ids, ends, end).astype(kind)
+            ends = np.append(0, ends + np.arange(1, len(ends) + 1)) * ids.itemsize
+            values = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc", "ids"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
@@ -219,7 +309,12 @@ def id_counts(ids: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(bytes_of(batch.column(0))), kind), minlength=len(total))
+            if not len(batch):
+                continue
+            column = batch.column(0)
+            _, offsets, data = column.buffers()
+            ends = np.frombuffer(offsets, "<i4", len(column) + 1, 4 * column.offset) // np.dtype(kind).itemsize
+            got = np.bincount(np.frombuffer(data, kind)[ends[0] : ends[-1]], minlength=len(total))
             got[: len(total)] += total
             total = got
         at = np.flatnonzero(total)

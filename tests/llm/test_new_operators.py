@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +373,39 @@ def test_library_ids_of_many_words_at_once():
     ids.tokenizer = SimpleNamespace(encode_batch_fast=lambda texts, **k: asked.extend(texts) or real.encode_batch_fast(texts, **k))
     assert ids.encode(words) == [b"".join(i.to_bytes(4, "little") for i in x) for x in want]
     assert len(asked) < len(words) / 10
+
+
+def test_library_ids_asks_one_form_of_a_word():
+    """Capitals and punctuation after a word don't make it a new one; special tokens and odd letters stay as they are."""
+    import public_tokenizers
+
+    ids = ans_files.LibraryIds(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    stems = ["house", "HOUSE", "straße", "Été", "été", "x×", "a÷", "it's", "'S", "9a", "İz", "ſo", "K", "µm", "ª", "’", "。"]
+    stems += ["<|ENDOFTEXT|>", "<|endoftext|>", "<|endoftext", "|", "</w>", "", "a.b", "�", "\x01", "ñ", "Σ", "dÉ"]
+    tails = ["", ".", "...", "!?", "'", "'s", "'S.", ",”", "́.", "###", "|>", "_-", "é.", "×,", "."]
+    words = [(a + b).encode() for a in stems for b in tails if a + b] + [b"caf\xc3.", b"\xe3\xc3\xa9;", b"\xc3\x97.", b"\xff."]
+    rng.shuffle(words)
+    want = [b"".join(i.to_bytes(4, "little") for i in ids.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids) for w in words]
+    assert ids.encode(words) == want
+    asked, real = [], ids._ask
+    ids._ask = lambda words: asked.extend(words) or real(words)
+    ids.known.clear()
+    ids.encode([b"Tree tree, TREE... (tree) tree!", b"Tree; tree"])
+    assert sorted(asked) == sorted([b"tree", b",", b"...", b"(tree", b")", b"!", b";"])
+
+
+def test_library_ids_of_columns():
+    """Texts are cut at the six white characters only, whatever else they hold; slices, nulls and empty texts keep their place."""
+    import public_tokenizers
+
+    ids = ans_files.LibraryIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [b" a  b\t\nc\v\f\rd ", None, b"", b"   ", "x\x1cy\x85z w v".encode(), b"\xff \xc3", b"one", b"two  three "]
+    column = pa.array([b"before", *texts, b"after"], pa.binary()).slice(1, len(texts))
+    got, ends = ids.ids_of(column)
+    pieces = [got[a:b].tolist() for a, b in zip([0, *ends], ends)]
+    want = [[ids.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in (t or b"").split()] for t in texts]
+    assert pieces == [[i for w in t for i in w] for t in want]
+    got, ends = ids.ids_of(pa.array([None, b" "], pa.binary()))
+    assert not len(got) and ends.tolist() == [0, 0]
+    assert len(ids.ids_of(pa.array([], pa.binary()))[1]) == 0
