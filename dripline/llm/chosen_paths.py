@@ -6,10 +6,11 @@ token at a selected position meet in a child. Two documents stay together with a
 similarity; independent trees repeat the draw.
 
 Pairs are compared by sketch, pairs that may be similar by their full sets, and no pair list leaves a node. First every
-document names its smallest possible partner; nodes of many documents do this stretch by stretch, with their pivot in
+document names its smallest likely partner; nodes of many documents do this stretch by stretch, with their pivots in
 every stretch. After these links only documents of different components matter. A node of few documents is compared
 exhaustively. In a node of many, the members outside its largest component are compared with all others if they are
-few, else the node branches. What may be similar across components is confirmed group by group.
+few, else the node branches. Where the largest component is bulky, such strays of all trees and levels are gathered and
+meet that whole component once. What may be similar across components is confirmed group by group.
 
 With ``TREES`` root positions a pair of similarity 0.8 misses every root with a chance of 0.2 ** 12, and its sketches
 agree in fewer than ``AGREE`` of 64 positions with a chance of about 2e-6.
@@ -34,6 +35,10 @@ POSITIONS, TREES, BRANCH, DEPTH = 64, 12, 2, 4
 AGREE = 36
 #: Documents of a node that are compared exhaustively, and of a tile of a node that can't be branched further.
 LEAF = 1024
+#: Members of a large node that are in each of its stretches.
+PIVOTS = 8
+#: A component with at least one in so many members of a large node is bulky there.
+BULKY = 4
 SEED = 42
 _BLOCK = 4096
 _RNG = np.random.default_rng(SEED)
@@ -162,14 +167,16 @@ class _Runs:
             yield pa.Table.from_batches(held)
 
 
-def near(n: np.ndarray, tokens: np.ndarray, label: np.ndarray, percent: int, agree: int) -> np.ndarray:
-    """Which documents of a node may be similar and have different labels, as a matrix."""
-    out = (percent * np.maximum(n[:, None], n) <= 100 * np.minimum(n[:, None], n)) & (label[:, None] != label)
+def agreeing(n: np.ndarray, tokens: np.ndarray, label: np.ndarray, percent: int, agree: int) -> np.ndarray:
+    """Agreeing positions of documents of a node that may be similar and have different labels, else 0, as a matrix."""
+    fits = (percent * np.maximum(n[:, None], n) <= 100 * np.minimum(n[:, None], n)) & (label[:, None] != label)
+    out = np.zeros(fits.shape, dtype=np.uint8)
     step = max(1, 65_536 // max(len(n), 1))
     for k in range(0, len(n), step):
-        part = out[k : k + step]
+        part = fits[k : k + step]
         if part.any():
-            part &= np.count_nonzero(tokens[k : k + step, None] == tokens, axis=2) >= agree
+            count = np.count_nonzero(tokens[k : k + step, None] == tokens, axis=2)
+            out[k : k + step] = np.where(part & (count >= agree), count, 0)
     return out
 
 
@@ -192,17 +199,23 @@ def _in_leaves(leaves: DataFrame, nodes: DataFrame, labels: DataFrame | None, fn
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return map_batches(full.repartition(tasks, "path").sortWithinPartitions("path", "key"), run, schema)
+    # By a hash of the path: Spark takes the partitions of a join by path for these, and may then cut them into pieces.
+    placed = full.repartition(tasks, F.xxhash64("path")).sortWithinPartitions("path", "key")
+    return map_batches(placed, run, schema)
 
 
 def _stars(leaves: DataFrame, nodes: DataFrame, percent: int, agree: int) -> DataFrame:
-    """(a, b): each document that may be similar to others, with the smallest of them; the smaller comes first."""
+    """(a, b): each document that may be similar to others, with one of them; the smaller comes first.
+
+    That is the smallest of those that agree as similar documents do, else the one that agrees most.
+    """
 
     def run(keys, n, tokens, label):
-        maybe = near(n, tokens, label, percent, agree)  # rows come by ascending key
-        use = np.flatnonzero(maybe.any(axis=1))
-        first = maybe[use].argmax(axis=1)
-        return keys[np.minimum(first, use)], keys[np.maximum(first, use)]
+        count = agreeing(n, tokens, label, percent, agree)  # rows come by ascending key
+        use = np.flatnonzero(count.any(axis=1))
+        likely = 100 * count[use].astype(np.int32) >= percent * POSITIONS
+        one = np.where(likely.any(axis=1), likely.argmax(axis=1), count[use].argmax(axis=1))
+        return keys[np.minimum(one, use)], keys[np.maximum(one, use)]
 
     return _in_leaves(leaves, nodes, None, run, "a long, b long").distinct()
 
@@ -211,7 +224,7 @@ def _groups(leaves: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int
     """(gid, key): documents joined by pairs that may be similar, of different components; equal groups once."""
 
     def run(keys, n, tokens, label):
-        maybe = near(n, tokens, label, percent, agree)
+        maybe = agreeing(n, tokens, label, percent, agree) > 0
         use = np.flatnonzero(maybe.any(axis=1))
         maybe, group = maybe[np.ix_(use, use)], np.arange(len(use))
         while len(use):  # the smallest place reachable
@@ -336,27 +349,58 @@ def _stretches(big: DataFrame) -> DataFrame:
     return rows.unionByName(firsts).select(F.xxhash64("path", "part").alias("path"), "key").distinct()
 
 
-def _split(big: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(leaves, members to branch): nodes with few members outside their largest component are compared as they are.
+def _pivots(big: DataFrame) -> DataFrame:
+    """(path, key): the smallest member of each of ``PIVOTS`` shares of a large node, in every stretch of the node.
+
+    One of them is likely to be similar to most of the documents that are similar to many.
+    """
+    parts = F.ceil(F.col("size") / LEAF).cast("int")
+    share = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(PIVOTS)).alias("share")
+    rows = big.groupBy("path", share).agg(F.min("key").alias("key"), F.max(parts).alias("parts"))
+    rows = rows.select("path", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return rows.select(F.xxhash64("path", "part").alias("path"), "key")
+
+
+def _met(strays: DataFrame, others: DataFrame) -> DataFrame:
+    """(path, key): the strays of a path, in tiles, meet all its stretches; each meeting is a leaf.
+
+    Both carry ``path``, ``key`` and the numbers ``strays`` and ``size`` of the path.
+    """
+    half = LEAF // 2
+    tiles, parts = (F.ceil(F.col(c) / half).cast("int") for c in ("strays", "size"))
+    tile = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["path", "key", "t", "p"]
+    rows = strays.withColumn("t", tile(tiles)).withColumn("p", every(parts)).select(columns)
+    rows = rows.unionByName(others.withColumn("p", tile(parts)).withColumn("t", every(tiles)).select(columns))
+    return rows.select(F.xxhash64("path", "t", "p").alias("path"), "key").distinct()
+
+
+def _split(big: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(leaves, (label, key) of strays, members to branch) of large nodes.
 
-    Those few, in tiles, meet every stretch of the node; each meeting is a leaf. On the last level all nodes are tiled.
+    Nodes with few members outside their largest component don't branch, on the last level no node does. If that
+    component is bulky, its label is given with those strays, else they meet every stretch of the node.
     """
     rows = big.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")).select("path", "key", "size", "label")
     rows = written(rows, "labelled")
     top = rows.groupBy("path", "label").count().groupBy("path").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.max("count").alias("c"), F.sum("count").alias("all"))
-    top = small_side(top.select("path", "top", (F.col("all") - F.col("c")).alias("strays")).filter("strays > 0"))
+    bulky = ((F.col("c") > 1) & (BULKY * F.col("c") >= F.col("all"))).alias("bulky")
+    top = small_side(top.select("path", "top", (F.col("all") - F.col("c")).alias("strays"), bulky).filter("strays > 0"))
     here = F.lit(last) | (F.col("strays") <= LEAF)
-    few = rows.join(top.filter(here), "path")
-    half = LEAF // 2
-    tiles, parts = (F.ceil(F.col(c) / half).cast("int") for c in ("strays", "size"))
-    few = few.withColumn("tiles", tiles).withColumn("parts", parts)
-    tile = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["path", "key", "t", "p"]
-    strays = few.filter(F.col("label") != F.col("top")).withColumn("t", tile("tiles")).withColumn("p", every("parts")).select(columns)
-    others = few.withColumn("p", tile("parts")).withColumn("t", every("tiles")).select(columns)
-    met = strays.unionByName(others).select(F.xxhash64("path", "t", "p").alias("path"), "key").distinct()
-    return met, rows.join(top.filter(~here), "path", "left_semi").select("path", "key")
+    astray = F.col("label") != F.col("top")
+    few = rows.join(top.filter(here & ~F.col("bulky")), "path")
+    pooled = rows.join(top.filter(here & F.col("bulky")), "path").filter(astray).select(F.col("top").alias("label"), "key")
+    return _met(few.filter(astray), few), pooled, rows.join(top.filter(~here), "path", "left_semi").select("path", "key")
+
+
+def _pools(strays: DataFrame, labels: DataFrame) -> DataFrame:
+    """(path, key): the strays (label, key) of a component meet each other and all of the component."""
+    strays = written(strays.distinct(), "strays")
+    sizes = strays.groupBy("label").agg(F.count("*").alias("strays"))
+    sizes = small_side(sizes.join(labels.groupBy("label").count(), "label").select("label", "strays", (F.col("strays") + F.col("count")).alias("size")))
+    rows, members = (x.join(sizes, "label").select(F.col("label").alias("path"), "key", "strays", "size") for x in (strays, labels))
+    return _met(rows, rows.unionByName(members))
 
 
 def near_duplicates(
@@ -380,19 +424,22 @@ def near_duplicates(
     live = _sized(_roots(nodes))
     small, big = live.filter(F.col("size") <= LEAF).select("path", "key"), live.filter(F.col("size") > LEAF)
     crowded = not big.isEmpty()
-    stars = written(_stars(small.unionByName(_stretches(big)) if crowded else small, nodes, percent, agree), "stars")
+    stars = written(_stars(small.unionByName(_stretches(big).unionByName(_pivots(big)).distinct()) if crowded else small, nodes, percent, agree), "stars")
     sets = sets_of(stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct())
     links = written(_confirmed(stars, sets, percent), "links")
     known = written(_labels(links), "known")
-    leaves = [small]
+    leaves, strays = [small], []
     for depth in range(DEPTH if crowded else 0):
-        met, rows = _split(big, known, depth == DEPTH - 1)
+        met, pooled, rows = _split(big, known, depth == DEPTH - 1)
         leaves.append(met)
+        strays.append(pooled)
         if depth == DEPTH - 1 or rows.isEmpty():
             break
         live = _sized(_children(rows, nodes))
         leaves.append(live.filter(F.col("size") <= LEAF).select("path", "key"))
         big = live.filter(F.col("size") > LEAF)
+    if strays:
+        leaves.append(_pools(_all(strays), known))
     groups = written(_groups(_all(leaves), nodes, known, percent, agree), "groups")
     if not groups.isEmpty():
         if crowded:  # else every member of a group is in a star already

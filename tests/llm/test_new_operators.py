@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -409,3 +410,51 @@ def test_library_ids_of_columns():
     got, ends = ids.ids_of(pa.array([None, b" "], pa.binary()))
     assert not len(got) and ends.tolist() == [0, 0]
     assert len(ids.ids_of(pa.array([], pa.binary()))[1]) == 0
+
+
+def test_leaves_stay_whole(spark):
+    """Spark may take the partitions of a join by path for those asked for, and cut them: links between pieces were lost."""
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token = bytes(4 * chosen_paths.POSITIONS)
+        nodes = spark.createDataFrame([(k, 9, token) for k in range(200)], "key long, n long, sketch binary")
+        leaves = spark.createDataFrame([(p, k) for k in range(200) for p in range(4)], "path long, key long").repartition(40).localCheckpoint()
+        labels = spark.createDataFrame([(0, 0)], "key long, label long")
+        seen = chosen_paths._in_leaves(leaves, nodes, labels, lambda keys, n, tokens, label: (keys[:1], [len(keys)]), "a long, b long")
+        assert sorted((r.a, r.b) for r in seen.collect()) == [(0, 200)] * 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+
+
+def test_strays_of_all_nodes_meet_a_bulky_component_once(spark, monkeypatch):
+    """Before, they met it again in every tree and level."""
+    monkeypatch.setattr(chosen_paths, "LEAF", 8)
+    labels = spark.createDataFrame([(k, 0) for k in range(20)], "key long, label long")
+    big = spark.createDataFrame([(p, k, 26) for p in range(12) for k in range(26)], "path long, key long, size long")
+    met, strays, branching = chosen_paths._split(big, labels, False)
+    assert met.isEmpty() and branching.isEmpty()
+    leaves = {}
+    for r in chosen_paths._pools(strays, labels).collect():
+        leaves.setdefault(r.path, []).append(r.key)
+    rows = sum(map(len, leaves.values()))
+    assert rows <= 6 * 7 + 26 * 2  # each stray in all stretches, each document in all tiles of strays
+    assert all(any(a in m and b in m for m in leaves.values()) for a in range(20, 26) for b in range(26))
+
+
+def test_documents_name_a_partner_that_is_likely_similar(spark):
+    """Not just the smallest that may be."""
+    agree = [64, 40, 60, 64]
+    tokens = [[0] * a + [100 * k + 1] * (chosen_paths.POSITIONS - a) for k, a in enumerate(agree)]
+    rows = [(k, 50, np.array(t, np.uint32).tobytes()) for k, t in zip([3, 1, 2, 4], tokens)]
+    nodes = spark.createDataFrame(rows, "key long, n long, sketch binary")
+    leaves = nodes.selectExpr("9L as path", "key")
+    stars = chosen_paths._stars(leaves, nodes, 80, 36).collect()
+    assert {tuple(r) for r in stars} == {(1, 2), (2, 3), (2, 4)}  # all agree with 1 in 40 positions, the others in 60 or more
+
+
+def test_pivots_are_in_every_stretch(spark, monkeypatch):
+    monkeypatch.setattr(chosen_paths, "LEAF", 10)
+    got = chosen_paths._pivots(spark.createDataFrame([(1, k, 40) for k in range(40)], "path long, key long, size long")).collect()
+    keys = {r.key for r in got}
+    assert 0 in keys and 4 < len(keys) <= chosen_paths.PIVOTS and len(got) == 4 * len(keys) and len({r.path for r in got}) == 4
