@@ -518,3 +518,22 @@ def test_top_k_equals_brute_force(spark):
         assert got == brute_top(rows, k, every)
     assert exact_topk.top_k(data.filter("1 = 0")).count() == 0
     assert exact_topk.top_k(data.filter("vec_id = 0")).count() == 0
+
+
+def test_top_k_never_broadcasts_copies_of_blocks(spark, monkeypatch):
+    """One small block of queries met very many vector blocks: its copies were gathered on the driver."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)] + [(1001 + i % 3, [float(i)] * 6) for i in range(9)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plans, write = [], exact_topk.written
+
+    def written(df, stem):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, stem)
+
+    for name, value in (("BLOCK", 16), ("STRIP", 4), ("written", written)):
+        monkeypatch.setattr(exact_topk, name, value)
+    got = sorted(tuple(r) for r in exact_topk.top_k(data, 3, 5).collect())
+    assert got == brute_top(rows, 3, 5)
+    met = [p for p in plans if "MapInArrow" in p.splitlines()[1]]
+    assert met and not [p for p in met if "Broadcast" in p]
