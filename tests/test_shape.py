@@ -288,3 +288,24 @@ def test_one_cluster_needs_no_comparison(spark, monkeypatch):
     got = shape.silhouette_samples(df).collect()
     assert given == [0]
     assert len(got) == df.filter("label = 0").count() and {r["silhouette"] for r in got} == {0.0}
+
+
+def test_silhouette_copies_packed_tiles_only(spark, monkeypatch):
+    """Every row was copied to a task for each tile of its pattern; now a tile is one small blob."""
+    x = sparse(150, 6)
+    x[70:74] = x[:4] + 1e-5
+    w = np.random.default_rng(3).integers(1, 4, len(x))
+    df = table(spark, x, w).withColumn("label", F.when(F.col("row_key") < 100, 0).otherwise(F.col("row_key") % 7 - 1).cast("int"))
+    monkeypatch.setattr(tiles, "_cogroup", None)
+    monkeypatch.setattr(tiles, "PACKED_TILE", 20)
+    monkeypatch.setattr(shape, "COLUMNS", 8)
+    monkeypatch.setattr(shape, "STRIP", 4)
+    got = {r["row_key"]: r["silhouette"] for r in shape.silhouette_samples(df).collect()}
+    label = np.array([0 if i < 100 else i % 7 - 1 for i in range(len(x))])
+    want = brute_silhouette(x, w, label)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    tile = tiles.packed(df.select("pattern", "row_key", "vec", "weight", "label"), ["pattern"], ["weight", "label"], "label").collect()
+    assert len(tile) <= 8 and sum(len(tiles.unpacked(r["blob"])["row_key"]) for r in tile) == len(x)
+    whole = {k: v for r in tile for k, v in zip(*(tiles.unpacked(r["blob"])[c] for c in ("row_key", "vec")))}
+    assert all((whole[k] == x[k]).all() for k in range(len(x)))
