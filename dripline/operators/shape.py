@@ -31,6 +31,8 @@ FIRST_PORTION = 512
 FIRST_COMPARED = 16
 #: Columns of a tile whose distances to a strip of rows are formed together.
 COLUMNS = 1024
+#: Points at which sums of roots are taken, and the greatest ratio of squares they are interpolated over.
+NODES, REACH = 96, 50.0
 #: Level of silhouette cells on which a cell is one vector.
 LAST_LEVEL = 5
 
@@ -263,45 +265,95 @@ def coverage(labelled: DataFrame) -> DataFrame:
     )
 
 
-def _by_cluster(labels: np.ndarray, weights: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """(where the clusters of some rows of a tile begin, weights of the rows); rows of a cluster lie together."""
-    part = labels[lo:hi]
-    return np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), weights[lo:hi]
+class _Side:
+    """A tile of the silhouette, with what its comparisons share; rows of a cluster lie together."""
+
+    def __init__(self, tile: dict) -> None:
+        self.x, self.weight = tile["vec"], tile["weight"].astype(float)
+        self.labels, self.label = np.unique(tile["label"], return_inverse=True)
+        self.square, self.used = (self.x * self.x).sum(1), self.x != 0
+        self.users = [np.flatnonzero(u) for u in self.used.T]
+        ones = np.ones((len(self.x), 1))
+        # Squared distances as one product: |x|^2 + |y|^2 - 2xy.
+        self.row = np.hstack([self.x, self.square[:, None], ones])
+        self.column = np.hstack([-2.0 * self.x, ones, self.square[:, None]])
+        self.mark = self.used.astype(np.float32)
+
+    def add(self, sums: np.ndarray, rows, of: np.ndarray, table: np.ndarray) -> None:
+        """Adds the columns of ``table``, its rows being ``of`` this tile, weighted and by cluster, to ``sums[rows]``."""
+        label, weight = self.label[of], self.weight[of]
+        first = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+        if len(first) == 1:
+            sums[rows, label[0]] += weight @ table
+        else:
+            at = np.arange(len(sums))[rows]
+            sums[at[:, None], label[first][None, :]] += np.add.reduceat(weight[:, None] * table, first, axis=0).T
+
+
+def _root_sums(nodes: np.ndarray, side: _Side) -> np.ndarray:
+    """Per cluster of ``side`` the weighted sum of the root of each node plus a row's square."""
+    first = np.flatnonzero(np.r_[True, side.label[1:] != side.label[:-1]])
+    return np.add.reduceat(np.sqrt(nodes[:, None] + side.square) * side.weight, first, axis=1)
+
+
+def _apart_sums(one: _Side, other: _Side) -> np.ndarray:
+    """Weighted distance of each row to each cluster of the other tile as if no slot were used by both.
+
+    The distance is then the root of the sum of both squares, so the sums are a smooth function of a row's square. It is
+    taken at ``NODES`` Chebyshev points and interpolated, which is exact to rounding where the squares differ by a factor
+    of ``REACH`` at most; else every row is a node of its own.
+    """
+    low, high = min(one.square.min(), other.square.min()), max(one.square.max(), other.square.max())
+    if len(one.square) <= NODES or not 0 < high <= REACH * low:
+        return np.vstack([_root_sums(one.square[k : k + STRIP], other) for k in range(0, len(one.square), STRIP)])
+    turn = (np.arange(NODES) + 0.5) * np.pi / NODES
+    middle, half = (high + low) / 2, max((high - low) / 2, 1e-12)
+    values = _root_sums(middle + half * np.cos(turn), other)
+    terms = np.cos(np.outer(np.arange(NODES), turn)) @ values * (2.0 / NODES)
+    terms[0] /= 2
+    return np.cos(np.outer(np.arccos(np.clip((one.square - middle) / half, -1, 1)), np.arange(NODES))) @ terms
+
+
+def _distance_table(a: _Side, b: _Side, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    d = a.row[rows] @ b.column[columns].T
+    if d.min() < 1e-6:  # the product loses digits here, differences don't
+        near = np.argwhere(d < 1e-6)
+        diff = a.x[rows[near[:, 0]]] - b.x[columns[near[:, 1]]]
+        d[near[:, 0], near[:, 1]] = (diff * diff).sum(1)
+    return np.sqrt(d, out=d)
 
 
 def _distance_sums(key, left: dict, right: dict) -> list[tuple]:
-    """(clusters, weighted distance of each row to them) of both tiles; a few rows of distances exist at a time."""
-    x, y = left["vec"], right["vec"]
-    l_labels, l_at = np.unique(left["label"], return_inverse=True)
-    r_labels, r_at = np.unique(right["label"], return_inverse=True)
-    l_weights, r_weights = left["weight"].astype(float), right["weight"].astype(float)
-    to_right, to_left = np.zeros((len(x), len(r_labels))), np.zeros((len(y), len(l_labels)))
-    # Squared distances as one product: |x|^2 + |y|^2 - 2xy.
-    a = np.hstack([x, (x * x).sum(1)[:, None], np.ones((len(x), 1))])
-    b = np.hstack([-2.0 * y, np.ones((len(y), 1)), (y * y).sum(1)[:, None]]).T
-    for left_lo in range(0, len(x), STRIP):
-        rows = slice(left_lo, left_lo + STRIP)
-        l_first, l_w = _by_cluster(l_at, l_weights, left_lo, left_lo + STRIP)
-        for lo in range(0, len(y), COLUMNS):
-            columns = slice(lo, lo + COLUMNS)
-            d = a[rows] @ b[:, columns]
-            if d.min() < 1e-6:  # the product loses digits here, differences don't
-                near = np.argwhere(d < 1e-6)
-                diff = x[rows][near[:, 0]] - y[columns][near[:, 1]]
-                d[near[:, 0], near[:, 1]] = (diff * diff).sum(1)
-            np.sqrt(d, out=d)
-            r_first, r_w = _by_cluster(r_at, r_weights, lo, lo + COLUMNS)
-            if len(r_first) == 1:
-                to_right[rows, r_at[lo]] += d @ r_w
-            else:
-                to_right[rows, r_at[lo + r_first]] += np.add.reduceat(d * r_w, r_first, axis=1)
-            if left is right:
-                continue
-            if len(l_first) == 1:
-                to_left[columns, l_at[left_lo]] += l_w @ d
-            else:
-                to_left[columns, l_at[left_lo + l_first]] += np.add.reduceat(l_w[:, None] * d, l_first, axis=0).T
-    return [(r_labels, to_right)] if left is right else [(r_labels, to_right), (l_labels, to_left)]
+    """(clusters, weighted distance of each row to them) of both tiles; a few rows of distances exist at a time.
+
+    Most days share no slot, and the distance of two such days depends on their squares only. So all rows are summed as
+    if they were apart, and only rows that use the same slot are compared; a pair with several such slots counts in
+    parts. Tiles in which most pairs share a slot are compared row by row.
+    """
+    same = left is right
+    a = _Side(left)
+    b = a if same else _Side(right)
+    met = sum(len(u) * len(v) for u, v in zip(a.users, b.users))
+    if met > len(a.x) * len(b.x) / 2 or not (np.isfinite(a.square).all() and np.isfinite(b.square).all()):
+        to_right, to_left = np.zeros((len(a.x), len(b.labels))), np.zeros((len(b.x), len(a.labels)))
+        blocks = [(np.arange(len(a.x)), np.arange(len(b.x)))]
+    else:
+        to_right, to_left = _apart_sums(a, b), None if same else _apart_sums(b, a)
+        blocks = list(zip(a.users, b.users))
+    whole = len(blocks) == 1
+    for over, across in blocks:
+        for i in range(0, len(over), STRIP):
+            rows = over[i : i + STRIP]
+            for j in range(0, len(across), COLUMNS):
+                columns = across[j : j + COLUMNS]
+                d = _distance_table(a, b, rows, columns)
+                if not whole:
+                    d -= np.sqrt(a.square[rows][:, None] + b.square[columns])
+                    d /= a.mark[rows] @ b.mark[columns].T
+                b.add(to_right, rows, columns, d.T)
+                if not same:
+                    a.add(to_left, columns, rows, d)
+    return [(b.labels, to_right)] if same else [(b.labels, to_right), (a.labels, to_left)]
 
 
 def _summed(key, tile: dict, added) -> pd.DataFrame:

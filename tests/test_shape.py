@@ -309,3 +309,39 @@ def test_silhouette_copies_packed_tiles_only(spark, monkeypatch):
     assert len(tile) <= 8 and sum(len(tiles.unpacked(r["blob"])["row_key"]) for r in tile) == len(x)
     whole = {k: v for r in tile for k, v in zip(*(tiles.unpacked(r["blob"])[c] for c in ("row_key", "vec")))}
     assert all((whole[k] == x[k]).all() for k in range(len(x)))
+
+
+@pytest.mark.parametrize("clusters", [1, 9])
+def test_days_without_a_common_slot_are_not_compared(clusters, monkeypatch):
+    """Sums of distances equal those of all pairs, though only pairs with a common slot are compared."""
+    rng = np.random.default_rng(clusters)
+
+    def tile(x):
+        label = np.sort(rng.integers(0, clusters, len(x)))
+        return {"vec": x, "label": label, "weight": rng.integers(1, 4, len(x)), "row_key": np.arange(len(x))}
+
+    def brute(a, b):
+        d = np.sqrt(((a["vec"][:, None] - b["vec"][None]) ** 2).sum(-1)) * b["weight"]
+        return np.stack([d[:, b["label"] == c].sum(1) for c in np.unique(b["label"])], axis=1)
+
+    x, y = (sparse(n, 8, nonzero=3) for n in (200, 230))
+    x, y = (v / v.max(axis=1, keepdims=True) for v in (x, y))
+    y[:9], y[9:12] = x[:9], x[9:12] * (1 + 1e-8)
+    empty = x.copy()
+    empty[::50] = 0.0
+    compared = []
+    table = shape._distance_table
+
+    def counted(a, b, rows, columns):
+        compared.append(len(rows) * len(columns))
+        return table(a, b, rows, columns)
+
+    monkeypatch.setattr(shape, "_distance_table", counted)
+    for one, other in ((tile(x), tile(y)), (tile(empty), tile(y)), (tile(7 * x), tile(y)), (tile(x), tile(np.abs(rng.normal(size=(40, 48)))))):
+        compared.clear()
+        (_, to_right), (_, to_left) = shape._distance_sums(None, one, other)
+        assert to_right == pytest.approx(brute(one, other), rel=1e-12) and to_left == pytest.approx(brute(other, one), rel=1e-12)
+        if len(other["vec"]) == 230:
+            assert sum(compared) < 200 * 230 / 2
+        ((_, within),) = shape._distance_sums(None, one, one)
+        assert within == pytest.approx(brute(one, one), rel=1e-9, abs=1e-9)
